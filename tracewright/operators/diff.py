@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,40 +63,27 @@ def _sides(local: DataFrame, remote: DataFrame, fields: list[Compared], buckets:
     return side(local, "local").unionByName(side(remote, "remote"))
 
 
-def _halves(key: Column, at: int, value: Column) -> list[Column]:
-    """128 bits of hash of a field as four numbers below 2**32, which can be added without overflow."""
-    out = []
-    for salt in (11, 47):
-        h = F.xxhash64(F.lit(salt), key, F.lit(at), F.coalesce(value, F.lit("\x00")))
-        out += [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
-    return out
+def _hashes(n_fields: int, salt: int) -> Column:
+    """One 64-bit hash for each field of a record, and one for its key alone."""
+    values = [F.coalesce(F.col(f"f{i}"), F.lit("\x00")) for i in range(n_fields)] + [F.lit("present")]
+    return F.array(*[F.xxhash64(F.lit(salt), F.col("fix_key"), F.lit(i), v) for i, v in enumerate(values)])
 
 
 def unequal_cells(sides: DataFrame, n_fields: int) -> DataFrame:
-    """The matrix's unequal rows: bucket and a bit mask of the columns (bit ``n_fields``: the keys themselves)."""
-    width = n_fields + 1
-    hashes = [h for i in range(n_fields) for h in _halves(F.col("fix_key"), i, F.col(f"f{i}"))]
-    hashes += _halves(F.col("fix_key"), n_fields, F.lit("present"))
-    packed = F.struct(*[h.alias(f"h{i}") for i, h in enumerate(hashes)])
-    records = (
-        sides.select("bucket", "fix_key", "is_local", "at", packed.alias("h"))
-        .groupBy("bucket", "fix_key")
-        .agg(
-            F.max_by("h", F.when(F.col("is_local"), F.col("at"))).alias("l"),
-            F.max_by("h", F.when(~F.col("is_local"), F.col("at"))).alias("r"),
-        )
-    )
-    zero = F.lit(0).cast("long")
-    sums = records.groupBy("bucket").agg(
-        *[F.sum(F.coalesce(F.col(f"l.h{i}"), zero) - F.coalesce(F.col(f"r.h{i}"), zero)).alias(f"s{i}") for i in range(4 * width)]
-    )
+    """The matrix's unequal rows: bucket and a bit mask of the columns (bit ``n_fields``: the keys themselves).
 
-    def bit(i: int) -> Column:
-        differs = reduce(lambda a, b: a | b, [F.col(f"s{4 * i + j}") != 0 for j in range(4)])
-        return F.when(differs, F.lit(1 << i)).otherwise(F.lit(0))
-
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(width)])
-    return sums.select("bucket", mask.alias("mask")).where("mask <> 0")
+    Each copy adds up its own records; the two never meet by key here. A cell's sum holds the two
+    64-bit hashes in halves below 2**32, which can be added without overflow.
+    """
+    packed = F.arrays_zip(_hashes(n_fields, 11).alias("a"), _hashes(n_fields, 47).alias("b"))
+    records = sides.select("bucket", "fix_key", "is_local", "at", packed.alias("h")).groupBy("is_local", "bucket", "fix_key").agg(F.max_by("h", "at").alias("h"))
+    cells = records.select("is_local", "bucket", F.posexplode("h").alias("column", "h"))
+    low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
+    signed = lambda h: F.when(F.col("is_local"), h).otherwise(-h)
+    parts = [low(F.col("h.a")), high(F.col("h.a")), low(F.col("h.b")), high(F.col("h.b"))]
+    sums = cells.groupBy("bucket", "column").agg(*[F.sum(signed(x)).alias(f"s{i}") for i, x in enumerate(parts)])
+    unequal = sums.where("s0 <> 0 or s1 <> 0 or s2 <> 0 or s3 <> 0")
+    return unequal.groupBy("bucket").agg(F.bit_or(F.expr("shiftleft(1, column)")).alias("mask"))
 
 
 def _rows(df: DataFrame) -> int:
