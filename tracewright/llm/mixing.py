@@ -5,8 +5,10 @@ given, so that ``a`` is one minus the usual exponent of temperature sampling). `
 the largest value, 1 at most, at which no source's budget exceeds its tokens times its repetition
 limit; or to the value at which the weights have a wanted entropy.
 
-A source's budget is spent in passes over all of its documents; the last pass is partial. Documents lie in blocks by a hash; each pass takes the blocks in an order of its own,
-and the budget ends inside one block, the only one whose documents are counted one by one. Blocks
+A source's budget is spent in passes over all of its documents; the last pass is partial. Documents
+lie in blocks by a hash; the partial pass takes the blocks in an order of its own,
+and only the blocks about the budget's end are counted document by document (those that still fit
+are taken). Blocks
 hold a bounded number of documents on average, so a source with a third of all documents is spread
 as evenly as any other.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +31,8 @@ from pyspark.sql.window import Window
 #: Documents of a block, on average, and blocks whose sums are added up in one window.
 DOCUMENTS_PER_BLOCK = 64
 BLOCKS_PER_GROUP = 1024
+#: Blocks from which the end of a budget is filled document by document.
+LAST_BLOCKS = 16
 _STEPS = 100
 
 
@@ -107,10 +112,10 @@ def draw(sizes: DataFrame, sources: list[Source], budgets: list[int], seed: int
     spark = sizes.sparkSession
     plan = spark.createDataFrame(
         [
-            (s.name, max(1, s.documents // DOCUMENTS_PER_BLOCK), b // s.tokens, b % s.tokens)
+            (s.name, n := max(1, s.documents // DOCUMENTS_PER_BLOCK), b // s.tokens, b % s.tokens, LAST_BLOCKS * s.tokens // n)
             for s, b in zip(sources, budgets, strict=True)
         ],
-        "source string, blocks long, full long, rest long",
+        "source string, blocks long, full long, rest long, beyond long",
     )
     docs = sizes.where("tokens > 0").join(F.broadcast(plan), "source")  # the plan has a row per target source
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
@@ -131,18 +136,27 @@ def draw(sizes: DataFrame, sources: list[Source], budgets: list[int], seed: int
         .join(base, ["source", "group"])
         .select("source", "block", (F.col("base") + F.col("inner")).alias("began"), "n")
     )
-    partial = docs.join(began.withColumnRenamed("n", "block_tokens"), ["source", "block"]).where("began < rest")
+    partial = docs.join(began.withColumnRenamed("n", "block_tokens"), ["source", "block"]).where("rest > 0 and began < rest + beyond")
     inside = F.col("began") + F.col("block_tokens") <= F.col("rest")
     whole = partial.where(inside)
-    in_block = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = partial.where(~inside).withColumn("before", F.col("began") + F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
-    # The document across the budget's end is taken if more than half of it lies before the end.
-    last = last.where(F.col("before") + F.col("tokens") / 2 <= F.col("rest"))
-    tail = whole.select("doc_id", "source", (F.col("full") + 1).alias("use"), "tokens").unionByName(last.select("doc_id", "source", (F.col("full") + 1).alias("use"), "tokens"))
+    last = partial.where(~inside).select("doc_id", "source", (F.col("full") + 1).alias("use"), "tokens", "began", "rest")
+    last = last.groupBy("source").applyInPandas(_fill, last.drop("began", "rest").schema)  # LAST_BLOCKS of each source
+    tail = whole.select("doc_id", "source", (F.col("full") + 1).alias("use"), "tokens").unionByName(last)
     drawn = passes.unionByName(tail)
     return drawn.withColumn("use", F.col("use").cast("int")).withColumn("position", F.xxhash64(F.lit(seed), F.lit("mix"), "doc_id", "use"))
 
 
+def _fill(last: pd.DataFrame) -> pd.DataFrame:
+    """Takes a source's last documents in turn, passing over those that exceed what is left of the budget."""
+    last = last.sort_values(["began", "doc_id"])
+    left = int(last["rest"].iloc[0] - last["began"].iloc[0])
+    taken = []
+    for n in last["tokens"]:
+        taken.append(n <= left)
+        left -= n if taken[-1] else 0
+    return last.loc[taken].drop(columns=["began", "rest"])
+
+
 def shares(drawn: DataFrame, sources: list[Source], exponent: float) -> DataFrame:
     """source, documents, uses, tokens, share, target_share, exponent: what the draw reached."""
     spark = drawn.sparkSession

@@ -1,7 +1,7 @@
 """Splitting texts at natural boundaries by structure-tree packing.
 
 A text is read once into a tree: sections by heading level, blocks (paragraphs, fences, list items,
-log records) between blank lines, lines, sentences, words. A node is a range of tokens of the whole
+log records) between blank lines, lines, sentences, records and fields of machine-made lines, words. A node is a range of tokens of the whole
 text. Packing goes bottom-up: sibling subtrees are merged while they fit the limit together; only a
 node that exceeds it is entered, and its children are packed in the same way. Each piece but the
 first starts a fixed number of tokens before its natural start, so neighbours overlap.
@@ -31,11 +31,15 @@ _RULE = re.compile(r"^(?:-{3,}|={3,}|\*{3,})[ \t]*$", re.M)
 #: Lines that open an item or a record: list marks, log times, error boxes, definitions.
 _ITEM = re.compile(r"^(?:[-*+] |\d+[.)] |\[?\d{1,4}[-:]\d\d|╷|Error|(?:resource|module|variable|output|data|provider|locals)\b|  # )", re.M)
 _LINE = re.compile(r"\n")
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+(?=\S)|(?<=[。！？；])")
+_SENTENCE = re.compile(r"(?<=[.!?;])(?<!\.\.)\s+(?=\S)|(?<=[。！？；])")
+_RECORD = re.compile(r"(?<=[}\])][,;])(?=\s*[{\[(])")
+_FIELD = re.compile(r"(?<=[,;|，、])(?=\S)(?!\d)")
 _WORD = re.compile(r"\s+(?=\S)")
 
-#: Levels of the tree, coarsest first: headings (six levels), rules, blocks, items, lines, sentences, words.
-LEVELS = ["h1", "h2", "h3", "h4", "h5", "h6", "rule", "block", "item", "line", "sentence", "word", "token"]
+#: Levels of the tree, coarsest first: headings (six levels), rules, blocks, items, lines, sentences, then for
+#: machine-made lines records (one array's objects) and fields, then words.
+LEVELS = ["h1", "h2", "h3", "h4", "h5", "h6", "rule", "block", "item", "line", "sentence", "record", "field", "word", "token"]
+_INLINE = {"line": _LINE, "sentence": _SENTENCE, "record": _RECORD, "field": _FIELD}
 
 
 def boundaries(text: str, level: str) -> np.ndarray:
@@ -48,10 +52,8 @@ def boundaries(text: str, level: str) -> np.ndarray:
         at = [m.end() for m in _BLANK.finditer(text)] + [m.start() for m in _FENCE.finditer(text)]
     elif level == "item":
         at = [m.start() for m in _ITEM.finditer(text)]
-    elif level == "line":
-        at = [m.end() for m in _LINE.finditer(text)]
-    elif level == "sentence":
-        at = [m.end() for m in _SENTENCE.finditer(text)]
+    elif level in _INLINE:
+        at = [m.end() for m in _INLINE[level].finditer(text)]
     else:
         at = [m.start() for m in _WORD.finditer(text)]
     return np.array(sorted({a for a in at if 0 < a < len(text)}), np.int64)
@@ -134,13 +136,11 @@ def _tokens(ends: np.ndarray, a: int, b: int) -> int:
 
 def _merge(ends: np.ndarray, edges: list[int], room: int, depth: int, level: str) -> list[tuple[int, int, int, str]]:
     """Runs of siblings that fit together as one node each; a sibling that alone is too large is to be entered."""
-    sizes = [_tokens(ends, x, y) for x, y in zip(edges, edges[1:], strict=False)]
     out = []
     i = 0
-    while i < len(sizes):
-        j, total = i + 1, sizes[i]
-        while j < len(sizes) and total + sizes[j] <= room:
-            total += sizes[j]
+    while i < len(edges) - 1:
+        j = i + 1
+        while j + 1 < len(edges) and _tokens(ends, edges[i], edges[j + 1]) <= room:
             j += 1
         out.append((edges[i], edges[j], depth + 1, level if i == 0 else LEVELS[depth]))
         i = j
