@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import strip
+from tracewright.llm.history import History
 from tracewright.llm.metric_join import components, similar_pairs
 from tracewright.llm.shingles import distinct_sets, set_id, shingles
 from tracewright.operators.current import current_rows
+from tracewright.operators.tags import split_packed
 from tracewright.sources.scratch import settle
 from tracewright.sources.tables import load
 
 #: As TESTDATA.md states them for fixes: words of a shingle and least similarity.
 WORDS, THRESHOLD = 3, 0.7
+#: Import batches of one run against the history.
+RUN_BATCHES = 25
 
 
 def _fix_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -52,5 +57,60 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return named.join(least, "component").select("id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def _text(issue: Column, resolution: Column) -> Column:
+    """What is compared of a ticket or fix: markup becomes a blank."""
+    return F.regexp_replace(F.concat(issue, F.lit(" "), resolution), r"(?s)<.*?>", " ")
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
+def _source_key(system: Column, key: Column) -> Column:
+    """The form in which a ticket's key and a fix's ``source:`` tag meet; null where the key is null or blank."""
+    return F.when(_filled(key), F.lower(F.concat(F.lit("source:"), F.trim(system), F.lit(":"), strip(key))))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """import_id, batch_no, is_repeat (null: a bad row): the tickets, run by run, against all before them."""
+    fixes = current_rows(load(spark, d, "fixes"), ["issue", "resolution", "tags"])
+    fix_sets = fixes.select(shingles(WORDS)(_text(F.col("issue"), F.col("resolution"))).alias("grams"))
+    tags = fixes.where(F.lower("tags").contains("source:")).select(F.explode(split_packed("tags")).alias("key"))
+    history = History(spark)
+    history.seed(distinct_sets(fix_sets, "grams").withColumnRenamed("set_id", "x"), tags.select(F.lower("key").alias("key")).where("key like 'source:%'"))
+
+    tickets = load(spark, d, "ticket_imports")
+    good = tickets.where(_filled(F.col("issue")) & _filled(F.col("resolution")))
+    records = good.select(
+        F.col("import_id").alias("record"),
+        "batch_no",
+        _source_key(F.col("source_system"), F.col("source_key")).alias("key"),
+        shingles(WORDS)(_text(F.col("issue"), F.col("resolution"))).alias("grams"),
+    )
+    batches = [r["batch_no"] for r in tickets.select("batch_no").distinct().orderBy("batch_no").collect()]  # a row per batch
+    out = None
+    for i in range(0, len(batches), RUN_BATCHES):
+        some = records.where(F.col("batch_no").between(batches[i], batches[min(i + RUN_BATCHES, len(batches)) - 1]))
+        # Batches come one after another; within one the import id tells the order.
+        turn = F.struct("batch_no", F.col("record"))
+        judged = history.run(some.withColumn("turn", turn).select("record", "turn", "key", "grams"), THRESHOLD)
+        out = judged if out is None else out.unionByName(judged)
+    none = spark.createDataFrame([], "record long, is_repeat boolean")
+    out = none if out is None else out
+    return tickets.select("import_id", "batch_no").join(out.withColumnRenamed("record", "import_id"), "import_id", "left")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The tickets that repeat a fix or an earlier ticket."""
+    return _judged(spark, d).where("is_repeat").select("import_id", "batch_no")
+
+
+def p6_batches(spark: SparkSession, d: str) -> DataFrame:
+    """batch_no, imported, duplicates, bad_rows: the counters of each batch."""
+    count = lambda c: F.count(F.when(c, 1))
+    repeat = F.col("is_repeat")
+    return _judged(spark, d).groupBy("batch_no").agg(count(~repeat).alias("imported"), count(repeat).alias("duplicates"), count(repeat.isNull()).alias("bad_rows"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_batches": p6_batches, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
