@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import queries_duplicates, queries_sizes
+from tracewright.llm import queries_duplicates, queries_pii, queries_sizes
 
-FAMILIES = [queries_duplicates, queries_sizes]
+FAMILIES = [queries_pii, queries_duplicates, queries_sizes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
