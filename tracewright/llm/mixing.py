@@ -78,6 +78,8 @@ def within_repeats(sources: list[Source], exponent: float, budget: float) -> boo
 
 def largest_budget(sources: list[Source]) -> int:
     """The most tokens that can be drawn with exactly the target weights."""
+    if not sources:
+        return 0
     w = weights(sources, 1.0)
     return math.floor(min(s.tokens * s.max_repeats / x for s, x in zip(sources, w, strict=True)))
 
@@ -85,6 +87,9 @@ def largest_budget(sources: list[Source]) -> int:
 def solve(sources: list[Source], budget: int, target_entropy: float | None = None) -> tuple[float, list[float]]:
     """The exponent and the weights for a budget; see the module's head."""
 
+    if not sources:
+        return 1.0, []
+
     def ok(a: float) -> bool:
         if not within_repeats(sources, a, budget):
             return False
