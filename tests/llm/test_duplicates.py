@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tracewright.llm import history as history_module
 from tracewright.llm import metric_join
 from tracewright.llm.history import BANDS, ROWS, History
 from tracewright.llm.metric_join import components, similar_pairs
@@ -81,7 +82,9 @@ def greedy(old, keys, records, t=0.7):
     return out
 
 
-def test_runs_give_what_one_by_one_gives(spark):
+@pytest.mark.parametrize("hot", [256, 3])
+def test_runs_give_what_one_by_one_gives(spark, monkeypatch, hot):
+    monkeypatch.setattr(history_module, "HOT", hot)  # small: runs are cut in parts
     rng = random.Random(7)
     sets = [set(s) for s in corpus(9, 60, 40).values()]
     rng.shuffle(sets)

@@ -32,6 +32,8 @@ from tracewright.sources.scratch import scratch_path, settle
 #: Bands and minima per band: a pair at similarity 0.7 is missed with a chance of 1.1e-6.
 BANDS, ROWS = 50, 4
 BUCKETS = 16
+#: New sets that may share a band before a run is cut in parts; doubled with each part.
+HOT = 256
 _SLACK = 1e-9
 
 
@@ -107,8 +109,24 @@ class History:
     def run(self, records: DataFrame, threshold: float) -> DataFrame:
         """record, is_repeat of each of ``records`` (record, turn, key, grams); accepts the others.
 
-        ``turn`` is a number that orders the records; ``key`` may be null.
+        ``turn`` is a number that orders the records; ``key`` may be null. Where many new sets share a
+        band, as when a third of a run are edits of one text, the run is cut by turn: the first part
+        is settled, and the rest meets what it accepted as history, set by set instead of pair by pair.
         """
+        done: list[DataFrame] = []
+        left: DataFrame | None = records
+        hot = HOT
+        while left is not None:
+            judged, left = self._part(left, threshold, hot)
+            done.append(judged)
+            hot *= 2
+        out = done[0]
+        for x in done[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def _part(self, records: DataFrame, threshold: float, hot: int) -> tuple[DataFrame, DataFrame | None]:
+        """Judges the records up to the turn at which a band would be met by more than ``hot`` new sets; and what is left."""
         rows = settle(records.withColumn("x", F.when(F.size("grams") > 0, set_id(F.col("grams")))), "run-records")
         sets = settle(rows.where("x is not null").groupBy("x").agg(F.any_value("grams").alias("grams")), "run-sets")
         bands = settle(_bands(sets), "run-bands")
@@ -125,7 +143,17 @@ class History:
 
         # Within the run: only sets that some record not yet a case has.
         fresh = rows.where("not old")
-        open_bands = bands.join(fresh.select("x").where("x is not null").distinct(), "x", "left_semi")
+        new_sets = fresh.select("x").where("x is not null").distinct()
+        most = bands.join(new_sets, "x", "left_semi").groupBy("band").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        rest = None
+        if most > hot:
+            cut = fresh.agg(F.greatest(F.percentile_approx("turn", hot / most), F.min("turn"))).first()[0]
+            later = F.col("turn") > F.lit(cut)
+            rest = records.where(later).join(rows.where(later & ~F.col("old")).select("record"), "record", "left_semi")
+            rows = rows.where(F.col("old") | ~later)
+            fresh = rows.where("not old")
+            new_sets = fresh.select("x").where("x is not null").distinct()
+        open_bands = bands.join(new_sets, "x", "left_semi")
         a, b = open_bands.alias("a"), open_bands.alias("b")
         met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.x") < F.col("b.x"))).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
         own = self._alike(met, sets, sets.select(F.col("x").alias("y"), F.col("grams").alias("y_grams")), threshold)
@@ -134,7 +162,8 @@ class History:
         accepted = settle(fresh.join(cases, "record", "left_anti"), "accepted")
         new = accepted.select("x").where("x is not null").distinct()
         self.append(sets.join(new, "x", "left_semi"), bands.join(new, "x", "left_semi"), accepted.select("key"))
-        return rows.select("record").join(accepted.select("record", F.lit(False).alias("no")), "record", "left").select("record", F.col("no").isNull().alias("is_repeat"))
+        judged = rows.select("record").join(accepted.select("record", F.lit(False).alias("no")), "record", "left").select("record", F.col("no").isNull().alias("is_repeat"))
+        return judged, rest if rest is None or not rest.isEmpty() else None
 
     @staticmethod
     def _alike(met: DataFrame, sets: DataFrame, others: DataFrame, threshold: float) -> DataFrame:

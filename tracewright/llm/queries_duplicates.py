@@ -92,7 +92,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     for i in range(0, len(batches), RUN_BATCHES):
         some = records.where(F.col("batch_no").between(batches[i], batches[min(i + RUN_BATCHES, len(batches)) - 1]))
         # Batches come one after another; within one the import id tells the order.
-        turn = F.struct("batch_no", F.col("record"))
+        turn = F.col("batch_no").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("record")
         judged = history.run(some.withColumn("turn", turn).select("record", "turn", "key", "grams"), THRESHOLD)
         out = judged if out is None else out.unionByName(judged)
     none = spark.createDataFrame([], "record long, is_repeat boolean")
