@@ -45,3 +45,12 @@ def settle(df: DataFrame, name: str = "settled", partition_by: list[str] | None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table's rows over all cores, if its files make fewer input splits than there are cores.
+
+    For small tables in front of Python work; a table with enough splits is left as it is, unshuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
