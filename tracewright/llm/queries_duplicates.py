@@ -11,7 +11,7 @@ from tracewright.llm.metric_join import components, similar_pairs
 from tracewright.llm.shingles import distinct_sets, set_id, shingles
 from tracewright.operators.current import current_rows
 from tracewright.operators.tags import split_packed
-from tracewright.sources.scratch import settle
+from tracewright.sources.scratch import settle, spread
 from tracewright.sources.tables import load
 
 #: As TESTDATA.md states them for fixes: words of a shingle and least similarity.
@@ -79,7 +79,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     history = History(spark)
     history.seed(distinct_sets(fix_sets, "grams").withColumnRenamed("set_id", "x"), tags.select(F.lower("key").alias("key")).where("key like 'source:%'"))
 
-    tickets = load(spark, d, "ticket_imports")
+    tickets = spread(load(spark, d, "ticket_imports"))
     good = tickets.where(_filled(F.col("issue")) & _filled(F.col("resolution")))
     records = good.select(
         F.col("import_id").alias("record"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.pii import Finder, find_spans, learn, redact_columns
-from tracewright.sources.scratch import settle
+from tracewright.sources.scratch import settle, spread
 from tracewright.sources.tables import load
 
 FIELDS = ["notes", "resolution", "error_excerpt"]
@@ -15,7 +15,7 @@ FIELDS = ["notes", "resolution", "error_excerpt"]
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """seq, field, text of every filled field of every fix."""
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in FIELDS])).alias("e")
-    rows = load(spark, d, "fixes").select("seq", fields).select("seq", "e.field", "e.text").where(F.length("text") > 0)
+    rows = spread(load(spark, d, "fixes").select("seq", *FIELDS)).select("seq", fields).select("seq", "e.field", "e.text").where(F.length("text") > 0)
     return settle(rows, "fix-texts")
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import mixing, packing, splitting
 from tracewright.llm.tokens import token_count, vocabulary_path
-from tracewright.sources.scratch import settle
+from tracewright.sources.scratch import settle, spread
 from tracewright.sources.tables import load
 
 
 def document_sizes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, tokens of every document, written once: the texts are tokenized only here."""
-    docs = load(spark, d, "documents")
+    docs = spread(load(spark, d, "documents").select("doc_id", "source", "text"))
     source = F.lower(F.trim("source")).alias("source")
     return settle(docs.select("doc_id", source, token_count(vocabulary_path())("text").alias("tokens")), "document-sizes")
 
@@ -68,7 +68,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """limit_id, doc_id, piece, ...: the pieces of every document, for each piece size."""
-    docs = load(spark, d, "documents")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
     out = None
     for limit in _limits(spark, d, "piece"):
         pieces = splitting.split_texts(docs, limit["max_tokens"], limit["overlap_tokens"], vocabulary_path())
@@ -80,7 +80,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that limit 4 makes the splitter cut."""
     limit = load(spark, d, "size_limits").where("limit_id = 4").first()
-    docs = load(spark, d, "documents").where(splitting.may_exceed(F.col("text"), limit["max_tokens"]))
+    docs = spread(load(spark, d, "documents").select("doc_id", "text").where(splitting.may_exceed(F.col("text"), limit["max_tokens"])))
     return splitting.split_texts(docs, limit["max_tokens"], limit["overlap_tokens"], vocabulary_path()).where("piece = 2").select("doc_id")
 
 
