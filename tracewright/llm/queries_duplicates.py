@@ -113,4 +113,13 @@ def p6_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_batches": p6_batches, "p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+_AT = "epoch_us(TRY_CAST(CASE WHEN regexp_matches(trim(updated_at),'(Z|[+-][0-9]{2}:[0-9]{2})$') THEN trim(updated_at) ELSE trim(updated_at)||'Z' END AS TIMESTAMPTZ))"
+SQL = {
+    "p4_found": f"""
+        WITH f AS (SELECT * FROM fixes QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY coalesce({_AT}, -9223372036854775807) DESC, seq DESC) = 1),
+        t AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', issue, resolution, coalesce(error_excerpt, ''))), '[a-z0-9]+') AS w FROM f),
+        s AS (SELECT id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM t WHERE len(w) > 0),
+        e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM s),
+        m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM m WHERE 10 * c >= 7 * (na + nb - c)"""
+}
