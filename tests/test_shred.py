@@ -57,6 +57,21 @@ def test_change_as_a_shared_element(spark, tmp_path):
     assert ("p", 1, "action", 1, "update") in got and ("p", 1, "before_arn", 1, "arn:y") in got
 
 
+def test_actions_as_a_plain_value(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    changes = [{"change": {"actions": "create"}}, {"change": {"actions": " "}}, {"change": {"actions": None}}, {"change": json.dumps({"actions": "read"})}]
+    array = {"change": {"actions": ["delete", "create"]}}
+    want = [("p", 1, "action", 1, "create"), ("p", 4, "action", 1, "read")]
+    both = [*want, ("p", 5, "action", 1, "delete"), ("p", 5, "action", 2, "create")]
+    # no array at all, beside an array, and with a table of its own for change
+    assert found(spark, tmp_path, [("p", "w", json.dumps({"resource_changes": changes}), at)]) == want
+    assert found(spark, tmp_path, [("p", "w", json.dumps({"resource_changes": [*changes, array]}), at)]) == both
+    shared = {"change": {"before": {"change": {"actions": "no"}}}}
+    assert found(spark, tmp_path, [("p", "w", json.dumps({"resource_changes": [*changes, array, shared]}), at)]) == both
+
+
 def test_empty_table(spark, tmp_path):
     assert found(spark, tmp_path, []) == []
 

@@ -66,12 +66,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
     wide = tables.column(change_pos, "resource_changes", "change.before.arn", "before_arn")
     wide = tables.column(wide, "resource_changes", "change.after_unknown.arn", "after_unknown_arn")
-    arns = wide.select(
+    # An action given as a plain value instead of an array is a column of its change, not a row of the actions' table.
+    wide = tables.column(wide, "resource_changes", "change.actions", "action")
+    leaves = {"action": blank(F.col("action")), "before_arn": blank(F.col("before_arn")), "after_unknown_arn": F.col("after_unknown_arn")}
+    single = wide.select(
         "plan_id",
         "change_pos",
-        F.stack(F.lit(2), F.lit("before_arn"), blank(F.col("before_arn")), F.lit("after_unknown_arn"), F.col("after_unknown_arn")).alias("leaf", "leaf_value"),
+        F.stack(F.lit(len(leaves)), *[x for leaf, value in leaves.items() for x in (F.lit(leaf), value)]).alias("leaf", "leaf_value"),
     ).where("leaf_value is not null")
-    return action.unionByName(arns.withColumn("leaf_pos", F.lit(1)))
+    return action.unionByName(single.withColumn("leaf_pos", F.lit(1)))
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
