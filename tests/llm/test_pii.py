@@ -1,7 +1,9 @@
+import hashlib
+
 import numpy as np
 import pytest
 
-from tracewright.llm.pii import Classifier, _vector, learn, find_spans, redact_columns, reliabilities
+from tracewright.llm.pii import Classifier, Lists, _vector, learn, find_spans, redact_columns, reliabilities
 from tracewright.llm.pii_spans import Gazetteer, candidates
 
 GAZ = Gazetteer({"norela", "wenette", "oskis", "norick", "wenick"}, {"quillane", "dunnleway", "quilleway", "dunnane"}, {"oster vale"})
@@ -81,3 +83,33 @@ def test_no_texts(spark):
     none = spark.createDataFrame([], "seq long, text string")
     finder = learn(none, spark.createDataFrame([], "given_name string, family_name string"), spark.createDataFrame([], "author string"))
     assert find_spans(none, ["seq"], finder).collect() == []
+
+
+def test_words_met_once_are_listed(spark):
+    rows = [(j * 100 + i, t.format(i=i)) for i in range(30) for j, (t, _) in enumerate(TEXTS)]
+    rows += [(8000 + i, f"It ships to {i + 2} Wren Street, 0000{i % 9} Fenwick Hollow.") for i in range(30)]
+    rows += [(9000, "It ships to 28 Wren Street, 00003 Oster Vale."), (9001, "It goes to 16b Copperbeck Road, Oster Vale."), (9002, "Ask wenette.quillrow@ops.example before"), (9003, 'user="wenette quillrow" op')]
+    df = spark.createDataFrame(rows, "seq long, text string")
+    finder = learn(df, spark.createDataFrame([("Norela", "Quillane")], "given_name string, family_name string"), spark.createDataFrame([], "author string"))
+    got = {(r.seq, r.pii_text) for r in find_spans(df, ["seq"], finder).collect()}
+    assert {(9001, "16b Copperbeck Road, Oster Vale"), (9003, "wenette quillrow")} <= got
+
+
+def test_each_text_is_told_all_it_asks(spark):
+    given, family, towns = ["norela", "wenette", "oskis", "norick", "wenick"], ["quillane", "dunnleway", "quilleway", "dunnane"], ["oster vale"]
+    texts = [
+        "Spoke to Norela B. Quillane and Wenela Dunneway-O'Quillane's friend, NORELÁ DUNNLEWAY; norette quillleway",
+        "mail xnorela-o'quillane+a@ops.example or wquillane at ops dot example about Quillane, Oskis",
+        "to 92 Old Kiln Ave., Apt 18, Oster Vale Site. and 3 Wren Street, Oster Mere",
+        "nothing here",
+    ]
+    post = [(f"It ships to 28 Wren Street, 00003 {t.title()}.",) for t in towns]
+    roster = spark.createDataFrame([(g, family[i % 4].title()) for i, g in enumerate(given)], "given_name string, family_name string")
+    lists = Lists.learn(spark.createDataFrame(post, "text string"), roster, spark.createDataFrame([], "author string"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    told = {bytes(r.digest): r.known for r in lists.tell(df).collect()}
+    whole = Gazetteer(set(given), set(family), set(towns))
+    for t in texts:
+        own = candidates(t, Gazetteer.told(told.get(hashlib.sha256(t.encode()).digest())))
+        assert [(s.start, s.end, s.kind, s.votes) for s in own] == [(s.start, s.end, s.kind, s.votes) for s in candidates(t, whole)]
+    assert {"g1norela", "f2quillane", "f0dunneway", "t1oster vale"} <= {k for v in told.values() for k in v}

@@ -5,8 +5,9 @@ counts of all vote patterns estimates how reliable each labeler is, and from tha
 candidate with a given pattern is personal. A classifier with the votes, the words around the
 candidate and its shape as features is then trained on these probabilities, and decides.
 
-All texts are read for the lists of names and towns, the pattern counts and the decisions. Only the
-classifier is fitted on a sample: at most TRAINED candidates of each type, taken by least hash.
+All texts are read for the lists of names and towns, the pattern counts and the decisions. The lists
+hold every word met, however rare, as written tables; what is known of a text's words is joined to it,
+and how often a word was counted is a feature. Only the classifier is fitted on a sample: at most TRAINED candidates of each type, taken by least hash.
 
 Cases with a defined result: null and empty texts have no spans and stay as they are; texts of any
 length are read whole; where accepted spans overlap, the more probable one counts (then the longer);
@@ -15,50 +16,104 @@ a piece that stands twice in a field is found once but replaced everywhere it wa
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewright.llm.pii_spans import LABELERS, TYPES, Gazetteer, Span, candidates, fold, names_in_emails, towns_of
-from tracewright.sources.scratch import settle
+from tracewright.llm.pii_spans import LABELERS, LISTABLE, TYPES, Gazetteer, Span, candidates, fold, lookups, names_in_emails, towns_of
+from tracewright.sources.scratch import settle, spread
 
 #: Candidates of a type that its classifier is fitted on, at most.
 TRAINED = 20_000
-#: Learned names and towns that are told to all tasks, at most (the most frequent ones).
-LISTED = 20_000
 #: Slots of the hashed features.
 SLOTS = 1 << 12
 
 
-def _listed(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Gazetteer:
-    """Names from the staff list, from authors and from addresses that spell a name; towns that stand beside post codes."""
+@F.pandas_udf(T.StringType())
+def _folded(words: pd.Series) -> pd.Series:
+    return words.map(fold, na_action="ignore")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                if "@" in t:
-                    for g, f in names_in_emails(t):
-                        rows += [("given", fold(g)), ("family", fold(f))]
-                rows += [("town", w) for w in towns_of(t)]
-            yield pd.DataFrame(rows, columns=["list", "word"])
-
-    name = F.split(F.trim("author"), r"\s+")
-    signed = authors.where(F.size(name) == 2).select(F.explode(F.array(F.struct(F.lit("given").alias("list"), name[0].alias("word")), F.struct(F.lit("family").alias("list"), name[1].alias("word")))).alias("e")).select("e.*")
-    counted = texts.select("text").mapInPandas(find, "list string, word string").unionByName(signed).groupBy("list", "word").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.where("n > 1").orderBy(F.desc("n"), "list", "word").limit(3 * LISTED).collect()
-    words: dict[str, set[str]] = {"given": set(), "family": set(), "town": set()}
-    for r in rows:
-        words[r["list"]].add(fold(r["word"]))
-    for r in roster.select("given_name", "family_name").limit(LISTED).collect():
-        words["given"].add(fold(r[0]))
-        words["family"].add(fold(r[1]))
-    clean = lambda w: {x for x in w if re.fullmatch("[a-z]{3,}", x)}
-    return Gazetteer(clean(words["given"]), clean(words["family"]), words["town"])
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Written tables of all names and towns ever met: ``words`` (list, word, n) and the parts that names share.
+
+    Nothing is left out for being rare, and the tables stay distributed: each text is told, by joins,
+    what is known of its own words.
+    """
+
+    words: DataFrame
+    heads: DataFrame
+    tails: DataFrame
+
+    @staticmethod
+    def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Lists:
+        """Names from the staff list, from authors and from addresses that spell a name; towns that stand beside post codes."""
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for t in batch["text"]:
+                    if "@" in t:
+                        for g, f in names_in_emails(t):
+                            rows += [("given", fold(g)), ("family", fold(f))]
+                    rows += [("town", w) for w in towns_of(t)]
+                yield pd.DataFrame(rows, columns=["list", "word"])
+
+        def named(people: DataFrame, given: Column, family: Column) -> DataFrame:
+            both = F.array(F.struct(F.lit("given").alias("list"), given.alias("word")), F.struct(F.lit("family").alias("list"), family.alias("word")))
+            return people.select(F.explode(both).alias("e")).select("e.list", _folded("e.word").alias("word"))
+
+        name = F.split(F.trim("author"), r"\s+")
+        signed = named(authors.where(F.size(name) == 2), name[0], name[1])
+        staff = named(roster, F.col("given_name"), F.col("family_name"))
+        all_words = texts.select("text").mapInPandas(find, "list string, word string").unionByName(signed).unionByName(staff)
+        words = all_words.where((F.col("list") == "town") | F.col("word").rlike(f"^{LISTABLE.pattern}$"))
+        words = settle(words.groupBy("list", "word").agg(F.count(F.lit(1)).alias("n")), "lists")
+        parts = _split(words.where("list <> 'town' and length(word) >= 4"))
+        shared = lambda part: parts.groupBy("list", part).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        return Lists(words, settle(shared("head"), "name-heads"), settle(shared("tail"), "name-tails"))
+
+    def tell(self, texts: DataFrame) -> DataFrame:
+        """digest, known: for each different text (column ``text``) what the lists say of its words, as ``Gazetteer.told`` reads it."""
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(d, kind, w) for d, t in zip(batch["digest"], batch["text"], strict=True) for kind, w in sorted(lookups(t))]
+                yield pd.DataFrame(rows, columns=["digest", "asked", "word"])
+
+        different = texts.where(F.length("text") > 0).select(_digest("text").alias("digest"), "text").dropDuplicates(["digest"])
+        asked = settle(different.mapInPandas(look, "digest binary, asked string, word string"), "looked-up")
+        vocabulary = asked.select("asked", "word").distinct()
+        kind = F.when(F.col("list") == "town", "town").otherwise("name").alias("asked")
+        listed = self.words.select("list", "word", "n", kind).join(vocabulary, ["asked", "word"])
+        # A word longer than two shared parts cannot be made of them.
+        longest = self.words.where("list <> 'town'").agg((2 * F.max(F.length("word"))).alias("longest"))
+        names = vocabulary.where("asked = 'name' and length(word) >= 5").crossJoin(F.broadcast(longest)).where("length(word) <= longest")
+        made = _split(names.drop("longest")).join(self.heads, "head").join(self.tails, ["list", "tail"]).select("list", "word", F.lit(0).cast("long").alias("n"), "asked")
+        known = listed.select("list", "word", "n", "asked").unionByName(made).groupBy("asked", "list", "word").agg(F.max("n").alias("n"))
+        told = F.concat(F.substring("list", 1, 1), F.least("n", F.lit(2)).cast("string"), F.col("word"))
+        return asked.join(known, ["asked", "word"]).groupBy("digest").agg(F.collect_list(told).alias("known"))
+
+
+def _split(words: DataFrame) -> DataFrame:
+    """``words`` with head and tail: each way to cut a word in two of at least two letters."""
+    cuts = words.withColumn("cut", F.explode(F.sequence(F.lit(2), F.length("word") - 2)))
+    return cuts.withColumn("head", F.expr("substring(word, 1, cut)")).withColumn("tail", F.expr("substring(word, cut + 1)")).drop("cut")
+
+
+def _with_known(df: DataFrame, text: str, told: DataFrame, name: str) -> DataFrame:
+    """``df`` with what is known of the words of column ``text`` as column ``name``."""
+    return df.withColumn("__digest", _digest(text)).join(told.select(F.col("digest").alias("__digest"), F.col("known").alias(name)), "__digest", "left").drop("__digest")
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -122,36 +177,43 @@ class Classifier:
 
 
 class Finder:
-    """What a run has learned: the lists and the classifier."""
+    """What a run has learned: the lists and the classifier; ``told`` is what the lists say of the texts learned from."""
+
+    def __init__(self, lists: Lists, classifier: Classifier, texts: DataFrame, told: DataFrame) -> None:
+        self.lists, self.classifier, self._texts, self._told = lists, classifier, texts, told
+
+    def tell(self, texts: DataFrame) -> DataFrame:
+        """``Lists.tell``; not looked up again for the texts learned from."""
+        return self._told if texts is self._texts else self.lists.tell(texts)
 
-    def __init__(self, gazetteer: Gazetteer, classifier: Classifier) -> None:
-        self.gazetteer, self.classifier = gazetteer, classifier
 
-    def choose(self, spans: list[Span]) -> list[Span]:
-        """The accepted spans, in order, none overlapping another."""
-        scored = [(self.classifier.probability(s.kind, np.array(s.votes), s.features), s) for s in spans]
-        taken: list[Span] = []
-        for p, s in sorted(scored, key=lambda x: (-round(x[0], 3), x[1].start - x[1].end, x[1].start)):
-            if p >= 0.5 and all(s.end <= t.start or t.end <= s.start for t in taken):
-                taken.append(s)
-        return sorted(taken, key=lambda s: s.start)
+def choose(classifier: Classifier, spans: list[Span]) -> list[Span]:
+    """The accepted spans, in order, none overlapping another."""
+    scored = [(classifier.probability(s.kind, np.array(s.votes), s.features), s) for s in spans]
+    taken: list[Span] = []
+    for p, s in sorted(scored, key=lambda x: (-round(x[0], 3), x[1].start - x[1].end, x[1].start)):
+        if p >= 0.5 and all(s.end <= t.start or t.end <= s.start for t in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: s.start)
 
-    def find(self, text: str) -> list[Span]:
-        """The personal data in a text."""
-        return self.choose(candidates(text, self.gazetteer))
+
+def find(text: str, known: Iterable[str] | None, classifier: Classifier) -> list[Span]:
+    """The personal data in a text, of whose words so much is known."""
+    return choose(classifier, candidates(text, Gazetteer.told(known)))
 
 
 def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
     """Learns from ``texts`` (column ``text``, not null; read it from a table), a staff list and ``authors`` (column ``author``)."""
-    spark = texts.sparkSession
-    lists = spark.sparkContext.broadcast(_listed(texts, roster, authors))
+    lists = Lists.learn(texts, roster, authors)
+    told = settle(lists.tell(texts), "told")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s.kind, list(s.votes), s.features) for t in batch["text"] for s in candidates(t, lists.value)]
+            rows = [(s.kind, list(s.votes), s.features) for t, k in zip(batch["text"], batch["known"], strict=True) for s in candidates(t, Gazetteer.told(k))]
             yield pd.DataFrame(rows, columns=["kind", "votes", "features"])
 
-    spans = settle(texts.select("text").mapInPandas(scan, "kind string, votes array<int>, features array<string>"), "candidates")
+    source = _with_known(texts.select("text"), "text", told, "known")
+    spans = settle(spread(source).mapInPandas(scan, "kind string, votes array<int>, features array<string>"), "candidates")
     patterns = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** LABELERS rows of each type at most
     belief: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind in TYPES:
@@ -164,43 +226,45 @@ def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
         sample = spans.where(F.col("kind") == kind).orderBy(F.xxhash64("votes", "features"), "features").limit(TRAINED).collect()
         if sample:
             model.fit(kind, [_vector(np.array(r["votes"]), r["features"]) for r in sample], np.array([belief[kind, tuple(r["votes"])] for r in sample]))
-    return Finder(lists.value, model)
+    return Finder(lists, model, texts, told)
 
 
 def find_spans(texts: DataFrame, keys: list[str], finder: Finder) -> DataFrame:
     """keys, pii_type, pii_text: the different pieces of personal data of each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(finder)
+    shared = texts.sparkSession.sparkContext.broadcast(finder.classifier)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for *key, text in batch.itertuples(index=False, name=None):
-                got = {(s.kind, text[s.start : s.end]) for s in shared.value.find(text)}
+            for *key, text, known in batch.itertuples(index=False, name=None):
+                got = {(s.kind, text[s.start : s.end]) for s in find(text, known, shared.value)}
                 rows += [(*key, *g) for g in sorted(got)]
             yield pd.DataFrame(rows, columns=[*keys, "pii_type", "pii_text"])
 
     source = texts.select(*keys, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInPandas(run, f"{schema}, pii_type string, pii_text string")
+    return spread(_with_known(source, "text", finder.tell(texts), "known")).mapInPandas(run, f"{schema}, pii_type string, pii_text string")
 
 
 def redact_columns(df: DataFrame, columns: list[str], finder: Finder) -> DataFrame:
     """``df`` with the personal data in ``columns`` replaced by placeholders such as ``[EMAIL]``."""
-    shared = df.sparkSession.sparkContext.broadcast(finder)
+    shared = df.sparkSession.sparkContext.broadcast(finder.classifier)
 
-    def redact(text: str | None) -> str | None:
+    def redact(text: str | None, known: Iterable[str] | None) -> str | None:
         if not text:
             return text
         out, at = [], 0
-        for s in shared.value.find(text):
+        for s in find(text, known, shared.value):
             out += [text[at : s.start], f"[{s.kind.upper()}]"]
             at = s.end
         return "".join(out) + text[at:]
 
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype=object)
-
-    return df.withColumns({c: clean(F.col(c)) for c in columns})
+    def clean(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, k) for t, k in zip(texts, known, strict=True)], dtype=object)
+
+    told = settle(finder.lists.tell(df.select(F.explode(F.array(*columns)).alias("text"))), "told")
+    out = df
+    for i, c in enumerate(columns):
+        out = _with_known(out, c, told, f"__known{i}")
+    return out.select(*[clean(F.col(c), F.col(f"__known{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 LABELERS = 5  # form, list, before, after, look-alike
@@ -110,6 +111,9 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?[ \n]", re.I)
 
 
+#: Words that a list of names may hold; other words are never like a name.
+LISTABLE = re.compile("[a-z]{3,}")
+_RUN = re.compile(r"[^\W\d_]+")
 _LOCAL = re.compile(r"(?<![\w.+-])([a-z]{3,})[._-]((?:vander)?o?[a-z]{4,})(?:\+\w+)?@", re.I)
 
 
@@ -120,6 +124,8 @@ def names_in_emails(text: str) -> list[tuple[str, str]]:
 
 def fold(word: str) -> str:
     """Lower case without accents."""
+    if word.isascii():
+        return word.lower()
     return "".join(ch for ch in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(ch))
 
 
@@ -131,9 +137,28 @@ class Gazetteer:
 
     def __init__(self, given: set[str], family: set[str], towns: set[str]) -> None:
         self.given, self.family, self.towns = given, family, towns
+        self.seen: dict[tuple[str, str], int] = {}
         self._parts = {True: self._shared(given), False: self._shared(family)}
         self._known: dict[tuple[str, bool], bool] = {}
 
+    @classmethod
+    def told(cls, known: Iterable[str] | None) -> Gazetteer:
+        """For one text, from what was looked up for it: list (g, f, t), count (2 for more, 0 for made of parts), word."""
+        lists: dict[str, set[str]] = {"g": set(), "f": set(), "t": set()}
+        out = cls(set(), set(), set())
+        for k in () if known is None else known:
+            lists[k[0]].add(k[2:])
+            out.seen[k[0], k[2:]] = int(k[1])
+        out.given, out.family, out.towns = lists["g"], lists["f"], lists["t"]
+        return out
+
+    def count(self, kind: str, word: str) -> str:
+        """How often a word was counted for list ``kind``, as a feature: 0, 1, 2 (or more); '' where that is unknown."""
+        w = fold(word).replace("’", "'")
+        parts = [p.removeprefix("o'") for p in w.split("-")] if kind == "f" else [w]
+        found = [self.seen[kind, p] for p in parts if (kind, p) in self.seen]
+        return str(min(found)) if len(found) == len(parts) else ""
+
     @staticmethod
     def _shared(names: set[str]) -> tuple[set[str], set[str]]:
         heads: dict[str, set[str]] = {}
@@ -185,6 +210,11 @@ def _span(text: str, start: int, end: int, kind: str, form: int, listed: int) ->
     return Span(start, end, kind, votes, [f"b1={before[-1] if before else ''}", f"b2={' '.join(before)}", f"a1={after[0] if after else ''}", f"s={shape}"])
 
 
+def may_have_email(text: str) -> bool:
+    """Whether a text has anything that stands between the halves of an address."""
+    return "@" in text or " at " in text or "at)" in text or "at]" in text or " AT " in text
+
+
 def _emails(text: str, gaz: Gazetteer) -> list[Span]:
     out = []
     for m in _EMAIL.finditer(text):
@@ -235,7 +265,23 @@ def _addresses(text: str, gaz: Gazetteer) -> list[Span]:
             known = 1 if n else 0
         elif m["tail"]:
             known = 1
-        out.append(_span(text, m.start(), end, "street_address", 1, known))
+        sp = _span(text, m.start(), end, "street_address", 1, known)
+        if town and known and (seen := gaz.count("t", " ".join(words[:n]))):
+            sp.features.append(f"n={seen}")
+        out.append(sp)
+    return out
+
+
+def lookups(text: str) -> set[tuple[str, str]]:
+    """All that ``candidates`` may ask a gazetteer about a text: ("name", word) and ("town", words), folded."""
+    runs = set(_RUN.findall(text))
+    for m in _EMAIL.finditer(text) if may_have_email(text) else ():
+        runs |= {w[1:] for w in _RUN.findall(re.split(_AT, m[0], maxsplit=1, flags=re.I)[0])}
+    out = {("name", w) for w in map(fold, runs) if LISTABLE.fullmatch(w)}
+    for m in _ADDRESS.finditer(text) if any(ch.isdigit() for ch in text) else ():
+        if m["town"]:
+            words = m["town"].split(" ")
+            out |= {("town", fold(" ".join(words[:k]))) for k in range(1, len(words) + 1)}
     return out
 
 
@@ -272,6 +318,9 @@ def _names(text: str, gaz: Gazetteer) -> list[Span]:
         tech = any(w.lower() in TECH_WORDS for w in tokens)
         sp = _span(text, start, end, "person_name", form, _vote(has_given and has_family, not has_given and not has_family or tech))
         sp.features.append(f"t={int(given is None)}")
+        if sp.votes[1] > 0:
+            seen = [x for x in (gaz.count("f", family), gaz.count("g", given) if given is not None and len(given) > 1 else "") if x]
+            sp.features += [f"n={min(seen)}"] if seen else []
         if not (form or sp.votes[1] > 0):
             return
         out.append(sp)
@@ -322,7 +371,7 @@ def _names(text: str, gaz: Gazetteer) -> list[Span]:
 def candidates(text: str, gaz: Gazetteer) -> list[Span]:
     """All candidates of a text, which may overlap."""
     out = _names(text, gaz)
-    if "@" in text or " at " in text or "at)" in text or "at]" in text or " AT " in text:
+    if may_have_email(text):
         out += _emails(text, gaz)
     if any(ch.isdigit() for ch in text):
         out += _phones(text) + _ids(text) + _addresses(text, gaz)
