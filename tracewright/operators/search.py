@@ -59,6 +59,13 @@ def tokens(c: Column) -> Column:
     return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def cluster_key(issue: Column) -> Column:
+    """The first CamelCase token of an issue, else its first four words in lower case without punctuation; '' for null."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(issue, r"(?U)[^\w\s]", "")), r"(?U)\s+"), lambda w: w != "")
+    camel = F.nullif(F.regexp_extract(issue, "[A-Z][a-z]+(?:[A-Z][a-z]+)+", 0), F.lit(""))
+    return F.coalesce(camel, F.array_join(F.slice(words, 1, 4), " "), F.lit(""))
+
+
 def most_alike(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """query, item, shared, score: the ``k`` items that share most with each query, by Jaccard similarity of words.
 

@@ -103,6 +103,13 @@ def history_best(spark: SparkSession, d: str) -> DataFrame:
     return fixes.groupBy(key.alias("cluster")).agg(F.max_by("seq", order).alias("seq"), F.count(F.lit(1)).alias("n"))
 
 
+def history_cluster_best(spark: SparkSession, d: str) -> DataFrame:
+    """Of the fixes with the same first CamelCase token (else first four words), the one with an excerpt, then the newest, then the first."""
+    fixes = _fixes(spark, d)
+    order = F.struct(filled(F.col("error_excerpt")).cast("int").alias("a"), F.coalesce(instant_us(fixes["created_at"]), F.lit(0)).alias("b"), (-F.col("seq")).alias("c"))
+    return fixes.groupBy(S.cluster_key(F.col("issue")).alias("cluster")).agg(F.max_by("seq", order).alias("seq"), F.count(F.lit(1)).alias("n"))
+
+
 def similar_topk(spark: SparkSession, d: str) -> DataFrame:
     """For every hundredth fix the five whose issues share most words with its own."""
     words = _fixes(spark, d).select(F.col("seq").alias("id"), S.tokens(F.col("issue")).alias("words"))
@@ -128,7 +135,7 @@ def searchable_length(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (search_all_words, search_any_word, search_words_and_tags, tags_all, tags_any, type_in_tags, type_whole_word, get_by_prefix, get_by_id, fix_ids, list_recent, stats_counts, top_tags, summary_line, history_best, similar_topk, top_fixes_per_author, tag_pairs, searchable_length)
+    for f in (search_all_words, search_any_word, search_words_and_tags, tags_all, tags_any, type_in_tags, type_whole_word, get_by_prefix, get_by_id, fix_ids, list_recent, stats_counts, top_tags, summary_line, history_best, history_cluster_best, similar_topk, top_fixes_per_author, tag_pairs, searchable_length)
 }
 SQL = {
     "search_all_words": f"SELECT seq, id FROM fixes WHERE contains({_TEXT},'bucket') AND contains({_TEXT},'role')",
