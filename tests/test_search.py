@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from tracewright.operators.search import cluster_key
-from tracewright.plans.search import history_cluster_best
+from tracewright.operators.search import cluster_key, keywords
+from tracewright.plans.search import history_cluster_best, similar_topk_keywords
 
 
 def test_cluster_key(spark):
@@ -23,3 +23,11 @@ def test_history_cluster_best(spark, tmp_path):
     spark.createDataFrame(rows, "seq long, issue string, created_at string, error_excerpt string").write.parquet(f"{tmp_path}/fixes.parquet")
     got = {(r.cluster, r.seq, r.n) for r in history_cluster_best(spark, str(tmp_path)).collect()}
     assert got == {("CrashLoopBackOff", 1, 3), ("one two three four", 4, 1)}
+
+
+def test_all_stop_words_are_left_out(spark, tmp_path):
+    rows = [(100, "while above quota may fail", "")] + [(i, f"while above may x{i}y", "") for i in range(1, 4)] + [(9, "Quota once: before", "")]
+    df = spark.createDataFrame(rows, "seq long, issue string, tags string")
+    assert df.where("seq = 9").select(keywords(F.col("issue"))).first()[0] == ["quota"]
+    df.write.parquet(f"{tmp_path}/fixes.parquet")
+    assert [(r.item, r.shared, r.score) for r in similar_topk_keywords(spark, str(tmp_path)).collect()] == [(9, 1, 0.5)]

@@ -14,6 +14,15 @@ from tracewright.functions.fields import comma_tags, searchable
 STOP_WORDS = "the and for with that this from was were are not has have had been its but can did does".split()
 
 
+#: Fixed value: all stop words of the reference's keyword extraction.
+ALL_STOP_WORDS = (
+    "the a an is are was were be been being have has had do does did will would could should may might must shall "
+    "can need dare ought used to of in for on with at by from as into through during before after above below between "
+    "under again further then once here there when where why how all each few more most other some such no nor not only "
+    "own same so than too very just and but if or because until while this that these those it its error failed failure"
+).split()
+
+
 def text_of(df: DataFrame) -> Column:
     """What a keyword search looks at."""
     return searchable(*[df[c] for c in ("issue", "resolution", "error_excerpt", "tags", "notes")])
@@ -59,6 +68,12 @@ def tokens(c: Column) -> Column:
     return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def keywords(c: Column) -> Column:
+    """The different words of three letters or more by the reference's rule: letters of any script, all its stop words left out."""
+    words = F.split(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+")
+    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in ALL_STOP_WORDS]))
+
+
 def cluster_key(issue: Column) -> Column:
     """The first CamelCase token of an issue, else its first four words in lower case without punctuation; '' for null."""
     words = F.filter(F.split(F.lower(F.regexp_replace(issue, r"(?U)[^\w\s]", "")), r"(?U)\s+"), lambda w: w != "")

@@ -116,6 +116,12 @@ def similar_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.most_alike(words.where("id % 100 = 0"), words, 5)
 
 
+def similar_topk_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """As similar_topk, by the reference's keywords: all of its stop words are left out."""
+    words = _fixes(spark, d).select(F.col("seq").alias("id"), S.keywords(F.col("issue")).alias("words"))
+    return S.most_alike(words.where("id % 100 = 0"), words, 5)
+
+
 def top_fixes_per_author(spark: SparkSession, d: str) -> DataFrame:
     """The two first fixes of each author, and how many more there are."""
     return top_per_group(_fixes(spark, d).select("author", "seq"), "author", [F.col("seq")], 2)
@@ -135,7 +141,7 @@ def searchable_length(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (search_all_words, search_any_word, search_words_and_tags, tags_all, tags_any, type_in_tags, type_whole_word, get_by_prefix, get_by_id, fix_ids, list_recent, stats_counts, top_tags, summary_line, history_best, history_cluster_best, similar_topk, top_fixes_per_author, tag_pairs, searchable_length)
+    for f in (search_all_words, search_any_word, search_words_and_tags, tags_all, tags_any, type_in_tags, type_whole_word, get_by_prefix, get_by_id, fix_ids, list_recent, stats_counts, top_tags, summary_line, history_best, history_cluster_best, similar_topk, similar_topk_keywords, top_fixes_per_author, tag_pairs, searchable_length)
 }
 SQL = {
     "search_all_words": f"SELECT seq, id FROM fixes WHERE contains({_TEXT},'bucket') AND contains({_TEXT},'role')",
