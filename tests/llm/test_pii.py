@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tracewright.llm.pii import Classifier, Lists, _vector, learn, find_spans, redact_columns, reliabilities
+from tracewright.llm.pii import Classifier, Lists, _vector, learn, find_spans, redact_columns, reliabilities, sample_of
 from tracewright.llm.pii_spans import Gazetteer, candidates
 
 GAZ = Gazetteer({"norela", "wenette", "oskis", "norick", "wenick"}, {"quillane", "dunnleway", "quilleway", "dunnane"}, {"oster vale"})
@@ -113,3 +113,10 @@ def test_each_text_is_told_all_it_asks(spark):
         own = candidates(t, Gazetteer.told(told.get(hashlib.sha256(t.encode()).digest())))
         assert [(s.start, s.end, s.kind, s.votes) for s in own] == [(s.start, s.end, s.kind, s.votes) for s in candidates(t, whole)]
     assert {"g1norela", "f2quillane", "f0dunneway", "t1oster vale"} <= {k for v in told.values() for k in v}
+
+
+def test_sample_is_of_rows_not_of_contexts(spark):
+    rows = [(i * 7919, 3, [1, 0], ["b1=common" if i % 10 else "b1=rare"]) for i in range(2000)]
+    spans = spark.createDataFrame(rows, "row long, start int, votes array<int>, features array<string>")
+    drawn = [r.features[0] for r in sample_of(spans, 500).collect()]
+    assert len(drawn) == 500 and 20 <= drawn.count("b1=rare") <= 90

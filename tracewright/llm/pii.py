@@ -7,7 +7,7 @@ candidate and its shape as features is then trained on these probabilities, and
 
 All texts are read for the lists of names and towns, the pattern counts and the decisions. The lists
 hold every word met, however rare, as written tables; what is known of a text's words is joined to it,
-and how often a word was counted is a feature. Only the classifier is fitted on a sample: at most TRAINED candidates of each type, taken by least hash.
+and how often a word was counted is a feature. Only the classifier is fitted on a sample: at most TRAINED candidates of each type, taken by least hash of their place (row and start).
 
 Cases with a defined result: null and empty texts have no spans and stay as they are; texts of any
 length are read whole; where accepted spans overlap, the more probable one counts (then the longer);
@@ -202,6 +202,11 @@ def find(text: str, known: Iterable[str] | None, classifier: Classifier) -> list
     return choose(classifier, candidates(text, Gazetteer.told(known)))
 
 
+def sample_of(spans: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` candidates, by a hash of where they stand: a context is drawn as often as its share of all."""
+    return spans.orderBy(F.xxhash64("row", "start"), "row", "start", "features").limit(size)
+
+
 def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
     """Learns from ``texts`` (column ``text``, not null; read it from a table), a staff list and ``authors`` (column ``author``)."""
     lists = Lists.learn(texts, roster, authors)
@@ -209,11 +214,15 @@ def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s.kind, list(s.votes), s.features) for t, k in zip(batch["text"], batch["known"], strict=True) for s in candidates(t, Gazetteer.told(k))]
-            yield pd.DataFrame(rows, columns=["kind", "votes", "features"])
-
-    source = _with_known(texts.select("text"), "text", told, "known")
-    spans = settle(spread(source).mapInPandas(scan, "kind string, votes array<int>, features array<string>"), "candidates")
+            rows = [
+                (r, s.start, s.kind, list(s.votes), s.features)
+                for r, t, k in zip(batch["row"], batch["text"], batch["known"], strict=True)
+                for s in candidates(t, Gazetteer.told(k))
+            ]
+            yield pd.DataFrame(rows, columns=["row", "start", "kind", "votes", "features"])
+
+    source = _with_known(texts.select(F.xxhash64(*texts.columns).alias("row"), "text"), "text", told, "known")
+    spans = settle(spread(source).mapInPandas(scan, "row long, start int, kind string, votes array<int>, features array<string>"), "candidates")
     patterns = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** LABELERS rows of each type at most
     belief: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind in TYPES:
@@ -223,7 +232,7 @@ def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
             belief |= {(kind, v): float(x) for (v, _), x in zip(rows, p, strict=True)}
     model = Classifier()
     for kind in TYPES:
-        sample = spans.where(F.col("kind") == kind).orderBy(F.xxhash64("votes", "features"), "features").limit(TRAINED).collect()
+        sample = sample_of(spans.where(F.col("kind") == kind), TRAINED).collect()
         if sample:
             model.fit(kind, [_vector(np.array(r["votes"]), r["features"]) for r in sample], np.array([belief[kind, tuple(r["votes"])] for r in sample]))
     return Finder(lists, model, texts, told)
