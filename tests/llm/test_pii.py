@@ -120,3 +120,8 @@ def test_sample_is_of_rows_not_of_contexts(spark):
     spans = spark.createDataFrame(rows, "row long, start int, votes array<int>, features array<string>")
     drawn = [r.features[0] for r in sample_of(spans, 500).collect()]
     assert len(drawn) == 500 and 20 <= drawn.count("b1=rare") <= 90
+
+
+@pytest.mark.parametrize("piece", ["oskis[AT]ops[DOT]example", "oskis{at}ops.example", "oskis (At) ops.example", "oskis\tat\nops dot example"])
+def test_every_spelling_of_at_is_looked_at(piece):
+    assert piece in [t[s.start : s.end] for t in [f"mail {piece} now"] for s in candidates(t, GAZ) if s.kind == "email"]

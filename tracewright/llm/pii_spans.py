@@ -76,6 +76,7 @@ _LOOK_ALIKE_BEFORE, _LOOK_ALIKE_AFTER = ({k: re.compile(p, re.I) for k, p in d.i
 _AT = r"(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 _EMAIL = re.compile(rf"(?<![\w.+%@*-])[A-Za-z0-9][\w.+%'-]*{_AT}[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w-])", re.I)
+_ANY_AT = re.compile(_AT, re.I)
 _PLAIN_AT = re.compile(r"\sat\s", re.I)
 _SPELLED_DOT = re.compile(r"\sdot\s|[(\[{]\s?dot", re.I)
 
@@ -212,7 +213,7 @@ def _span(text: str, start: int, end: int, kind: str, form: int, listed: int) ->
 
 def may_have_email(text: str) -> bool:
     """Whether a text has anything that stands between the halves of an address."""
-    return "@" in text or " at " in text or "at)" in text or "at]" in text or " AT " in text
+    return "@" in text or bool(_ANY_AT.search(text))
 
 
 def _emails(text: str, gaz: Gazetteer) -> list[Span]:
