@@ -26,6 +26,11 @@ CASES = [
     ("A,a,A", ["A", "a", "A"]),
     ('" padded ",x', ["padded", "x"]),
     ('["caf\\u00e9"]', ["café"]),
+    ('aws_vpc kw:role "east; west"', ["aws_vpc", "kw:role", "east; west"]),
+    ('"dev|qa"  infra  "a, b"', ["dev|qa", "infra", "a, b"]),
+    ("infra 'on call; weekly'", ["infra", "on call; weekly"]),
+    ('say "hi, there",x', ['say "hi', 'there"', "x"]),
+    ('5" rack dev', ['5"', "rack", "dev"]),
 ]
 
 

@@ -2,7 +2,9 @@
 
 The machine reads one field from left to right and knows three things: the quote it is in, whether
 the last character was an escape, and the stack of open brackets. Values are cut at separators
-that lie outside quotes. A blank separates only if a first pass met no other separator.
+that lie outside quotes. A first pass takes blanks as separators too, so that a quote after a blank
+opens a value; if it meets another separator outside quotes, blanks do not separate in this field and
+a second pass reads it without them.
 
 Cases with a defined result: null, empty and blank fields have no values; runs of separators make
 no empty values (positions count the values that are left); a quote that never closes, or stands
@@ -71,7 +73,7 @@ def _quoted(s: str, i: int, blank_separates: bool, closers: set[int]) -> tuple[s
 
 
 def _pass(s: str, blank_separates: bool) -> tuple[list[str], bool]:
-    """The values of a field, and whether a separator stood outside quotes."""
+    """The values of a field, and whether a separator other than a blank stood outside quotes."""
     partner = _partners(s)
     closers: set[int] = set()  # of brackets that enclose values
     inner: list[int] = []  # ends of brackets inside the current value
@@ -130,8 +132,8 @@ def tokenize(field: str | None) -> list[str]:
         if len(parts) == 1:
             parts = field.split()
         return [v for p in parts if (v := p.strip())]
-    values, met = _pass(field, blank_separates=False)
-    return values if met else _pass(field, blank_separates=True)[0]
+    values, met = _pass(field, blank_separates=True)
+    return _pass(field, blank_separates=False)[0] if met else values
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
