@@ -104,6 +104,54 @@ def test_runs_give_what_one_by_one_gives(spark, monkeypatch, hot):
     assert got == greedy(old, {"k1"}, records)
 
 
+def _records(spark, rows):
+    return spark.createDataFrame(rows, "record long, turn long, key string, grams array<long>")
+
+
+def test_an_index_is_continued_by_who_opens_it(spark, tmp_path):
+    text = list(range(20))
+    first = History(spark, f"{tmp_path}/h", buckets=8)
+    first.seed(spark.createDataFrame([(1, text)], SETS).selectExpr("xxhash64(grams) as x", "grams"), spark.createDataFrame([("k1",)], "key string"))
+    judged = lambda h, rows, **kw: {r.record: r.is_repeat for r in h.run(_records(spark, rows), 0.7, **kw).collect()}
+    again = History(spark, f"{tmp_path}/h")
+    assert again.buckets == 8 and again.committed() == [(0, "1")]
+    rows = [(1, 1, "k1", [900]), (2, 2, None, text[:18]), (3, 3, "k2", list(range(100, 120))), (4, 4, None, []), (5, 5, None, None)]
+    want = {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert judged(again, rows) == want
+    # The last run repeats itself, and does not meet what it had accepted; an earlier one is refused.
+    assert judged(History(spark, f"{tmp_path}/h"), rows, number=1) == want
+    with pytest.raises(ValueError, match="last run"):
+        again.run(_records(spark, rows), 0.7, number=0)
+    # A run that died before its marker counts for nothing.
+    dead = History(spark, f"{tmp_path}/h")
+    dead._append("00000002-0", spark.createDataFrame([(7, [555])], SETS), dead._bands(spark.createDataFrame([(7, [555])], SETS)), spark.createDataFrame([("k9",)], "key string"))
+    later = [(6, 6, "k9", [555]), (7, 7, "k2", None), (8, 8, None, list(range(100, 119)))]
+    assert judged(History(spark, f"{tmp_path}/h"), later) == {6: False, 7: True, 8: True}
+    whole = History(spark, f"{tmp_path}/h")
+    before = sorted(r.x for r in whole.sets().collect())
+    whole.compact()
+    opened = History(spark, f"{tmp_path}/h")
+    assert opened.committed() == [(2, "all")] and sorted(r.x for r in opened.sets().collect()) == before
+    assert judged(opened, [(9, 9, "k9", None), (10, 10, None, [555]), (11, 11, None, [556])]) == {9: True, 10: True, 11: False}
+
+
+def test_a_run_reads_only_the_buckets_it_meets(spark, tmp_path):
+    history = History(spark, f"{tmp_path}/h", buckets=16)
+    history.seed(spark.createDataFrame([(i, [i]) for i in range(200)], SETS), spark.createDataFrame([], "key string"))
+    files = lambda df: {f.split("bucket=")[1].split("/")[0] for f in df.inputFiles()}
+    plan = history.bands([3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.bucket for r in history.bands([3, 5]).select("bucket").distinct().collect()} <= {3, 5}
+    assert len(files(history.bands())) == 16
+
+
+def test_batches_in_one_run_or_each_alone(spark):
+    from tracewright.llm import queries_duplicates as Q
+
+    rows = lambda n: sorted((r.import_id, str(r.is_repeat)) for r in Q._judged(spark, "/root/testdata/sf0.001", n).collect())
+    assert rows(25) == rows(1)
+
+
 def test_bands_miss_hardly_any_pair_at_the_threshold():
     assert (1 - 0.7**ROWS) ** BANDS < 2e-6
 

@@ -16,7 +16,8 @@ from tracewright.sources.tables import load
 
 #: As TESTDATA.md states them for fixes: words of a shingle and least similarity.
 WORDS, THRESHOLD = 3, 0.7
-#: Import batches of one run against the history.
+#: Import batches that a backfill judges in one run. Turns order the records across batches, so the rows do not depend
+#: on it; only the number of runs does. A batch that arrives alone is a run of its own.
 RUN_BATCHES = 25
 
 
@@ -71,7 +72,7 @@ def _source_key(system: Column, key: Column) -> Column:
     return F.when(_filled(key), F.lower(F.concat(F.lit("source:"), F.trim(system), F.lit(":"), strip(key))))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
+def _judged(spark: SparkSession, d: str, run_batches: int = RUN_BATCHES) -> DataFrame:
     """import_id, batch_no, is_repeat (null: a bad row): the tickets, run by run, against all before them."""
     fixes = current_rows(load(spark, d, "fixes"), ["issue", "resolution", "tags"])
     fix_sets = fixes.select(shingles(WORDS)(_text(F.col("issue"), F.col("resolution"))).alias("grams"))
@@ -89,8 +90,8 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     )
     batches = [r["batch_no"] for r in tickets.select("batch_no").distinct().orderBy("batch_no").collect()]  # a row per batch
     out = None
-    for i in range(0, len(batches), RUN_BATCHES):
-        some = records.where(F.col("batch_no").between(batches[i], batches[min(i + RUN_BATCHES, len(batches)) - 1]))
+    for i in range(0, len(batches), run_batches):
+        some = records.where(F.col("batch_no").between(batches[i], batches[min(i + run_batches, len(batches)) - 1]))
         # Batches come one after another; within one the import id tells the order.
         turn = F.col("batch_no").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("record")
         judged = history.run(some.withColumn("turn", turn).select("record", "turn", "key", "grams"), THRESHOLD)
