@@ -39,9 +39,7 @@ from tracewright.sources.scratch import scratch_path, settle
 #: Bands and minima per band: a pair at similarity 0.7 is missed with a chance of 1.1e-6.
 BANDS, ROWS = 50, 4
 #: Buckets of a new index; an index keeps the number it was made with.
-BUCKETS = 32
-#: Writers of a bucket, so that no bucket is one task.
-_WRITERS = 4
+BUCKETS = 16
 #: New sets of a run that may meet in one band pair by pair; beyond it the run is settled in parts, which is exact too.
 HOT = 256
 _SLACK = 1e-9
@@ -157,8 +155,8 @@ class History:
 
     def _write(self, table: str, part: str, rows: DataFrame) -> None:
         if "bucket" in rows.columns:
-            rows = rows.repartition("bucket", F.pmod(F.xxhash64("x"), F.lit(_WRITERS)))
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/run={part}")
+            # Few files a bucket; a bucket too large for a task is split at run time.
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/run={part}")
         else:
             rows.write.mode("overwrite").parquet(f"{self.path}/{table}/run={part}")
 
