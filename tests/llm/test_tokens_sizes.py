@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewright.llm import mixing, packing
-from tracewright.llm.splitting import Splitter, split_texts
+from tracewright.llm.splitting import Splitter, parse, split_texts
 from tracewright.llm.tokens import PATTERN, bpe, token_count, vocabulary_path
 
 MODEL = bpe(vocabulary_path())
@@ -140,7 +141,7 @@ def test_overlap_is_kept():
     text = "\n".join(f"line {i} of the log" for i in range(400))
     out = pieces_of(text, 128, 16)
     for p in out[1:]:
-        assert 14 <= MODEL.count(text[p.start : p.natural_start]) <= 18
+        assert p.overlap == 16 and 14 <= MODEL.count(text[p.start : p.natural_start]) <= 18
         assert text[p.natural_start - 1] == "\n"
 
 
@@ -156,8 +157,55 @@ def test_any_text_is_covered(text):
     pieces_of(text, 24, 4)
 
 
+def kinds(text):
+    def show(n):
+        return (n.kind, text[n.start : n.end].strip().split("\n")[0], [show(c) for c in n.children]) if n.children else (n.kind, text[n.start : n.end].strip().split("\n")[0])
+
+    def check(n):
+        if n.children:
+            assert n.children[0].start == n.start and n.children[-1].end == n.end
+            assert all(a.end == b.start for a, b in itertools.pairwise(n.children))
+            for c in n.children:
+                check(c)
+
+    tree = parse(text)
+    check(tree)
+    return show(tree)
+
+
+def test_fences_hide_headings_items_and_empty_lines():
+    text = "# A\n\nintro\n\n```sh\n# no heading\n\n- no item\n```\n\n## B\n\ntext\n"
+    tree = kinds(text)
+    seen = []
+
+    def walk(n):
+        seen.append(n[:2])
+        for c in n[2] if len(n) > 2 else []:
+            walk(c)
+
+    walk(tree)
+    assert ("fence", "```sh") in seen and ("h2", "## B") in seen
+    assert not any("no heading" in x or "no item" in x for _, x in seen)
+
+
+def test_lists_nest_by_indentation():
+    text = "- one\n  - inner a\n  - inner b\n\n    more of b\n- two\n"
+    tree = kinds(text)
+    items = tree[2][0][2] if tree[2][0][0] != "item" and len(tree[2]) == 1 else tree[2]
+    assert [i[1] for i in items] == ["- one", "- two"]
+    assert any("- inner b" in str(i) for i in items[0][2])
+
+
+def test_small_siblings_are_merged_and_large_ones_entered():
+    text = "# A\n\nshort\n\n# B\n\nshort too\n\n# C\n\n" + "\n\n".join(f"Paragraph {i}. " + "Words go on here. " * 20 for i in range(6)) + "\n\n# D\n\nend\n"
+    out = pieces_of(text, 200, 0)
+    assert text[out[1].start :].startswith("# C") and out[1].level == "h1"
+    assert text[out[-1].start :].startswith("# D")
+    assert {p.level for p in out[2:-1]} == {"block"}
+
+
 def test_split_texts_column(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "word " * 3000), (4, "word " * 3000)], "doc_id long, text string")
-    got = split_texts(df, 512, 64, vocabulary_path()).collect()
+    got = split_texts(df, [(3, 512, 64)], vocabulary_path()).collect()
     assert {r.doc_id for r in got} == {3, 4}
     assert len([r for r in got if r.doc_id == 4]) == 2 * next(r.pieces for r in got if r.doc_id == 4)

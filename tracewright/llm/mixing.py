@@ -1,7 +1,7 @@
 """Mixing sources to target weights by temperature, drawn as budgeted block permutations.
 
-Weights lie on the family ``w(a) ~ natural**(1 - a) * target**a`` (``target`` uniform where none is
-given, so that ``a`` is one minus the usual exponent of temperature sampling). ``a`` is bisected to
+Weights lie on the family ``w(a) ~ natural**(1 - a) * target**a``; with equal targets this is temperature
+sampling, which exponentiates the sources' token shares by ``1 - a``. ``a`` is bisected to
 the largest value, 1 at most, at which no source's budget exceeds its tokens times its repetition
 limit; or to the value at which the weights have a wanted entropy.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,22 +68,40 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, d))
 
 
-def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """limit_id, doc_id, piece, ...: the pieces of every document, for each piece size."""
-    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """goal and the shares reached, with the exponent that was bisected, for two goals that target shares alone cannot meet.
+
+    ``total``: as many tokens as the sources hold, the exponent as near to the target shares as their
+    repetition limits let it be. ``entropy``: source token shares, exponentiated until they are as mixed
+    as the targets, for half of the tokens the sources hold.
+    """
+    sizes = document_sizes(spark, d)
+    sources = mixing.offered(sizes, load(spark, d, "mix_targets"))
+    held = sum(s.tokens for s in sources)
+    flat = [dataclasses.replace(s, target=1 / len(sources)) for s in sources]
+    goals = [("total", sources, held, None), ("entropy", flat, held // 2, mixing.entropy([s.target for s in sources]))]
     out = None
-    for limit in _limits(spark, d, "piece"):
-        pieces = splitting.split_texts(docs, limit["max_tokens"], limit["overlap_tokens"], vocabulary_path())
-        pieces = pieces.withColumn("limit_id", F.lit(limit["limit_id"]))
-        out = pieces if out is None else out.unionByName(pieces)
+    for goal, wanted, budget, entropy in goals:
+        exponent, w = mixing.solve(wanted, budget, entropy)
+        drawn = mixing.draw(sizes, wanted, [round(x * budget) for x in w])
+        got = mixing.shares(drawn, sources, exponent).withColumn("goal", F.lit(goal))
+        out = got if out is None else out.unionByName(got)
     return out
 
 
+def _pieces(spark: SparkSession, d: str, limits: list) -> DataFrame:
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return splitting.split_texts(docs, [(r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in limits], vocabulary_path())
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """limit_id, doc_id, piece, ...: the pieces of every document, for each piece size; texts are read once."""
+    return _pieces(spark, d, _limits(spark, d, "piece"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that limit 4 makes the splitter cut."""
-    limit = load(spark, d, "size_limits").where("limit_id = 4").first()
-    docs = spread(load(spark, d, "documents").select("doc_id", "text").where(splitting.may_exceed(F.col("text"), limit["max_tokens"])))
-    return splitting.split_texts(docs, limit["max_tokens"], limit["overlap_tokens"], vocabulary_path()).where("piece = 2").select("doc_id")
+    return _pieces(spark, d, load(spark, d, "size_limits").where("limit_id = 4").collect()).where("piece = 2").select("doc_id")
 
 
 QUERIES = {
@@ -89,6 +109,7 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_tempered": p8_tempered,
     "p9_found": p9_found,
     "p9_pieces": p9_pieces,
 }
