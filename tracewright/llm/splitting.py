@@ -49,6 +49,10 @@ _RULE_RANK, _BLOCK_RANK, _ITEM_RANK, _RECORD_RANK = 7, 8, 9, 10**6
 _INNER_RANK = _RECORD_RANK + 1
 
 
+#: Packings of a text with less and less room, before single overlaps are cut short.
+_ATTEMPTS = 12
+
+
 @dataclass
 class Node:
     """Characters [start, end) of a text, what they are, and the nodes they are made of (none: not parsed further)."""
@@ -177,12 +181,13 @@ class Splitter:
             return [Piece(0, 0, len(text), len(ends), 0, "text")]
         # A piece is cut out of the text, and may have more tokens there than inside it: then all are packed with less room.
         room = self.limit - self.overlap
-        for last in (False, False, False, True):
+        for attempt in range(_ATTEMPTS):
+            last = attempt == _ATTEMPTS - 1 or room <= 1
             cuts = self._cuts(text, ends, max(1, room))
             stops = [*[a for a, _ in cuts[1:]], len(text)]
             pieces = [self._piece(text, ends, a, b, level, last) for (a, level), b in zip(cuts, stops, strict=True)]
             excess = max(p.tokens for p in pieces) - self.limit
-            if excess <= 0:
+            if excess <= 0 or last:
                 break
             room -= excess
         return pieces
