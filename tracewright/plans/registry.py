@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import core, relations, search, state, streams
+from tracewright.plans import core, parsing, relations, search, state, streams
 
-FAMILIES = [core, search, state, relations, streams]
+FAMILIES = [core, search, parsing, state, relations, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

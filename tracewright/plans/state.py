@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import fields as X
-from tracewright.operators import parse, pending
+from tracewright.operators import pending
 from tracewright.operators.current import current_rows
 from tracewright.sources.tables import load
 
@@ -94,21 +94,6 @@ def error_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.cube("error_type", "provider").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
-def source_route(spark: SparkSession, d: str) -> DataFrame:
-    """Which tool each excerpt comes from."""
-    return _errors(spark, d).select("seq", parse.source(F.col("error_excerpt")).alias("source"))
-
-
-def parsed_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Typed rows of every error block of every excerpt."""
-    return parse.parse_errors(_errors(spark, d).select("seq", "error_excerpt"), "error_excerpt")
-
-
-def parsed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Parsed blocks by source, provider and code."""
-    return parsed_errors(spark, d).groupBy("source", "provider", "error_code").agg(F.count(F.lit(1)).alias("n"))
-
-
 def import_clean(spark: SparkSession, d: str) -> DataFrame:
     """Tickets' resolutions without markup."""
     return load(spark, d, "ticket_imports").select("import_id", X.without_markup(F.col("resolution")).alias("text"))
@@ -177,14 +162,13 @@ def conflict_log(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pending_latest, pending_open, pending_status_counts, pending_context, pending_latest_session, pending_supersede, pending_bundles, pending_sessions, command_families, error_ids, address_parts, file_lines, error_summary, source_route, parsed_errors, parsed_counts, import_clean, import_detect, import_slug, import_disposition, tag_merge, sync_push, sync_merge_tags, sync_status, conflict_log)
+    for f in (pending_latest, pending_open, pending_status_counts, pending_context, pending_latest_session, pending_supersede, pending_bundles, pending_sessions, command_families, error_ids, address_parts, file_lines, error_summary, import_clean, import_detect, import_slug, import_disposition, tag_merge, sync_push, sync_merge_tags, sync_status, conflict_log)
 }
 
 _LATEST = "(SELECT * FROM pending_errors QUALIFY row_number() OVER (PARTITION BY error_id ORDER BY seq DESC)=1)"
 _LEAF = "regexp_replace(split_part(resource_address,'[',1), '^(module\\.[^.]+\\.)+', '')"
 _PROVIDER = "CASE WHEN starts_with({x},'aws_') THEN 'aws' WHEN starts_with({x},'azurerm_') OR starts_with({x},'azuread_') THEN 'azure' WHEN starts_with({x},'google_') THEN 'gcp' WHEN starts_with({x},'kubernetes_') OR starts_with({x},'helm_') THEN 'kubernetes' ELSE 'unknown' END"
-_SOURCE = "CASE " + " ".join(f"WHEN regexp_matches(error_excerpt, '{p}') THEN '{n}'" for n, p in parse.SOURCES) + " ELSE 'unknown' END"
-_LINE = "lower(trim(regexp_replace(regexp_replace(short_message,'(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}','<UUID>','g'),'(?i)request ?id:? ?[0-9a-f-]+','<REQUEST>','g')))"
+_LINE = "lower(regexp_replace(regexp_replace(regexp_replace(short_message,'(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}','<UUID>','g'),'(?i)RequestID:\\s*\\S+','RequestID:<UUID>','g'),'^\\s+|\\s+$','','g'))"
 _COMMA = "list_distinct(list_filter(list_transform(string_split(coalesce({t},''),','), lambda t: lower(trim(t))), lambda t: t<>''))"
 
 
@@ -205,12 +189,11 @@ SQL = {
     "pending_bundles": f"SELECT error_code, coalesce({_LINE},'') AS line, count(*) AS n, min(seq) AS first_seq FROM pending_errors GROUP BY error_code, coalesce({_LINE},''), CASE WHEN error_code IS NULL THEN seq END",
     "pending_sessions": "SELECT cwd, count(DISTINCT session_id) AS sessions, count(*) AS n FROM pending_errors GROUP BY 1",
     "command_families": "SELECT array_to_string(list_slice(list_filter(string_split_regex(trim(coalesce(command,'')),'\\s+'), lambda w: w<>'' AND NOT starts_with(w,'-')),1,2),' ') AS family, count(*) AS n FROM pending_errors GROUP BY 1",
-    "error_ids": "SELECT seq, substr(sha256(coalesce(resource_address,'')||chr(10)||coalesce(error_code,'')||chr(10)||coalesce(file,'')||chr(10)||trim(lower(substr(coalesce(short_message,''),1,160)))),1,12) AS stable_id FROM pending_errors",
+    "error_ids": "SELECT seq, substr(sha256(coalesce(resource_address,'')||chr(10)||coalesce(error_code,'')||chr(10)||coalesce(file,'')||chr(10)||regexp_replace(lower(substr(coalesce(short_message,''),1,160)),'^\\s+|\\s+$','','g')),1,12) AS stable_id FROM pending_errors",
     "address_parts": f"SELECT seq, split_part(resource_address,'[',1) AS base, regexp_replace(regexp_extract(resource_address,'^((?:module\\.[^.]+\\.)*)',1),'\\.$','') AS module, {_LEAF} AS leaf, {_PROVIDER.format(x=_LEAF)} AS provider FROM pending_errors",
     "file_lines": "SELECT split_part(file,':',1) AS path, count(*) AS n, min(TRY_CAST(split_part(file,':',2) AS INT)) AS first_line, max(TRY_CAST(split_part(file,':',2) AS INT)) AS last_line FROM pending_errors WHERE file IS NOT NULL GROUP BY 1",
     "error_summary": f"WITH r AS (SELECT error_type, {_PROVIDER.format(x=_LEAF)} AS provider FROM pending_errors) SELECT error_type, provider, count(*) AS n, CAST(grouping(error_type, provider) AS INT) AS level FROM r GROUP BY CUBE (error_type, provider)",
-    "source_route": f"SELECT seq, {_SOURCE} AS source FROM pending_errors",
-    "import_clean": "SELECT import_id, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(resolution,'(?i)<(?:p|br|div|span|a)\\b|</') THEN regexp_replace(resolution,'(?i)</?(?:%s)\\b[^>]*>',' ','g') ELSE resolution END,'[ \\t]+',' ','g'),' ?\\n ?',chr(10),'g'),'\\n{3,}',chr(10)||chr(10),'g'),' '||chr(10)) AS text FROM ticket_imports" % "|".join(X.FORMATTING_TAGS),
+    "import_clean": "SELECT import_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(CASE WHEN regexp_matches(resolution,'(?i)<(?:p|br|div|span|a)\\b|</') THEN regexp_replace(resolution,'(?i)</?(?:%s)\\b[^>]*>',' ','g') ELSE resolution END, chr(10)), lambda l: regexp_replace(regexp_replace(l,'[ \\t]+',' ','g'),'^\\s+|\\s+$','','g')), chr(10)),'\\n{3,}',chr(10)||chr(10),'g'),'^\\s+|\\s+$','','g') AS text FROM ticket_imports" % "|".join(X.FORMATTING_TAGS),
     "import_detect": f"WITH t AS (SELECT import_id, lower({_TEXT}) AS t FROM ticket_imports), m AS (SELECT import_id, m, min(i) AS i FROM (SELECT import_id, unnest(regexp_extract_all(t,'{X.TYPE_PATTERN}')) AS m, generate_subscripts(regexp_extract_all(t,'{X.TYPE_PATTERN}'),1) AS i FROM t) GROUP BY 1,2) SELECT t.import_id, coalesce((SELECT string_agg(m, ',' ORDER BY i) FROM m WHERE m.import_id=t.import_id),'') AS types, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(t,'\\b{k}\\b') THEN 'kw:{k}' END" for k in X.KEYWORDS)}], lambda k: k IS NOT NULL), ',') AS keywords FROM t",
     "import_slug": "SELECT trim(regexp_replace(regexp_replace(lower(status),'[ -]+','_','g'),'\\W','','g'),'_') AS slug, count(*) AS n FROM ticket_imports GROUP BY 1",
     "import_disposition": "WITH r AS (SELECT import_id, batch_no, lower(trim(source_key)) AS k, lower(source_system) AS s, regexp_matches(coalesce(issue,''),'\\S') AND regexp_matches(coalesce(resolution,''),'\\S') AS good FROM ticket_imports), w AS (SELECT *, row_number() OVER (PARTITION BY s,k,good ORDER BY batch_no, import_id) AS i FROM r) SELECT batch_no, CASE WHEN NOT good THEN 'bad' WHEN k IS NOT NULL AND i>1 THEN 'duplicate' ELSE 'new' END AS disposition, count(*) AS n FROM w GROUP BY 1,2",
@@ -220,13 +203,3 @@ SQL = {
     "sync_status": f"SELECT count(*) FILTER (r.id IS NULL) AS ahead, count(*) FILTER (l.id IS NULL) AS behind, count(*) FILTER (r.id IS NOT NULL AND l.id IS NOT NULL) AS common, count(*) FILTER (l.is_private) AS private FROM {_cur('fixes')} l FULL JOIN {_cur('fixes_remote')} r USING (fix_key)",
     "conflict_log": "SELECT conflict_type, count(*) AS n, count(DISTINCT lower(trim(fix_id))) AS fixes, CAST(max(detected_at) AT TIME ZONE 'UTC' AS TIMESTAMP) AS last FROM sync_conflicts GROUP BY 1",
 }
-SQL["parsed_errors"] = (
-    f"WITH s AS (SELECT seq, {_SOURCE} AS source, string_split(regexp_replace(error_excerpt, '(Error(?: from server \\([A-Za-z]+\\))?: )', chr(1)||'\\1', 'g'), chr(1)) AS parts FROM pending_errors), "
-    "u AS (SELECT seq, source, unnest(parts) AS b, generate_subscripts(parts,1) AS i FROM s), d AS (SELECT seq, source, b, min(i) AS i FROM u WHERE contains(b,'Error') GROUP BY 1,2,3), "
-    "n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY i) AS block_no FROM d), "
-    f"x AS (SELECT *, lower(coalesce(nullif(regexp_extract(b,'resource \"(\\w+)\"',1),''), nullif(regexp_extract(b,'({X.TYPE_PATTERN})',1),''))) AS resource_type FROM n) "
-    "SELECT seq, source, CAST(block_no AS INT) AS block_no, coalesce(nullif(regexp_extract(b,'with ((?:module\\.[\\w-]+\\.)*\\w+\\.[\\w-]+)',1),''), nullif(concat_ws('.', resource_type, nullif(regexp_extract(b,'resource \"\\w+\" \"([\\w-]+)\"',1),'')),'')) AS address, resource_type, "
-    + _PROVIDER.format(x="resource_type")
-    + " AS provider, coalesce(nullif(regexp_extract(b,'Error from server \\((\\w+)\\)',1),''), nullif(regexp_extract(b,'(?:\\): |Error: )([A-Z][A-Za-z]+\\d*): ',1),'')) AS error_code, nullif(regexp_extract(b,'on (\\S+\\.tf) line \\d+',1),'') AS file, TRY_CAST(nullif(regexp_extract(b,'on \\S+\\.tf line (\\d+)',1),'') AS INT) AS line, CASE WHEN regexp_matches(b,'(?i)creating|create') THEN 'create' WHEN regexp_matches(b,'(?i)updating|resizing|modifying') THEN 'update' WHEN regexp_matches(b,'(?i)deleting|destroying') THEN 'delete' END AS action FROM x"
-)
-SQL["parsed_counts"] = f"SELECT source, provider, error_code, count(*) AS n FROM ({SQL['parsed_errors']}) GROUP BY 1,2,3"
