@@ -34,9 +34,9 @@ def test_terraform_blocks(spark):
 
 
 def test_blocks_are_told_apart_and_repeats_dropped(spark):
-    got = rows(parse_terraform, spark, DENIED + "\n" + DENIED + "\n" + BUCKET, None, "", "Error:", "no trouble", "x" * 300_000 + "\nError: late")
+    got = rows(parse_terraform, spark, DENIED + "\n" + DENIED + "\n" + AZURE, None, "", "Error:", "no trouble", "x" * 300_000 + "\nError: late")
     assert [(r["id"], r["error_no"]) for r in got] == [(0, 1), (0, 2), (5, 1)]
-    assert got[2]["error_message"] == "late" and got[2]["resource_address"] == "unknown"
+    assert got[-1]["error_message"] == "late" and got[-1]["resource_address"] == "unknown"
 
 
 SERVER = 'Error from server (Forbidden): pods "web-1" is forbidden: exceeded quota in namespace "prod"\nError from server (NotFound): deployments.apps "api" not found\n'

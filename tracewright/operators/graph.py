@@ -14,31 +14,42 @@ def dot_edges(lines: Column) -> Column:
     Escaped quotes are part of a name; marks such as ``[root] `` and `` (expand)`` are not.
     """
     quoted = r'"((?:[^"\\]|\\.)*)"'
-    pattern = rf"^\s*{quoted}\s*->\s*{quoted}"
+    bare = r"([^\s\"]+?)"
+    pattern = rf"^\s*(?:{quoted}|{bare})\s*->\s*(?:{quoted}|{bare})\s*(?:\[.*)?;?\s*$"
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\\(.)", "$1"), r"^\[root\] | \((?:expand|close)\)$", ""))
-    return F.when(lines.rlike(pattern), F.struct(plain(F.regexp_extract(lines, pattern, 1)).alias("src"), plain(F.regexp_extract(lines, pattern, 2)).alias("dst")))
+    either = lambda a, b: F.concat(F.regexp_extract(lines, pattern, a), F.regexp_extract(lines, pattern, b))
+    return F.when(lines.rlike(pattern), F.struct(plain(either(1, 2)).alias("src"), plain(either(3, 4)).alias("dst")))
 
 
-def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """node, depth, via: nodes within ``depth`` steps against the edges (src depends on dst), starts left out.
+def _levels(edges: DataFrame, starts: DataFrame, depth: int, keys: list[str], first: Column, step: Column) -> DataFrame:
+    """keys, node, depth, how: breadth-first levels; ``first`` is a start's ``how``, ``step`` that of a node met over an edge.
 
-    ``edges``: src, dst; ``starts``: node. ``via`` is the least of the nodes it is reached from. Each
-    level joins the frontier with the edges and drops what was seen; levels are written, so that
-    the plan does not grow and a lost executor costs one level.
+    The edges are written once. Each level joins the frontier with them, keeps the least ``how`` of a
+    node, and drops what was seen; levels are written, so that the plan does not grow and a lost
+    executor costs one level.
     """
-    edges = edges.select("src", "dst").distinct()
-    seen = settle(starts.select("node").distinct().withColumns({"depth": F.lit(0), "via": F.lit(None).cast("string")}), "reached")
+    edges = settle(edges.select(*keys, "src", "dst").distinct(), "edges")
+    seen = settle(starts.select(*keys, "node").distinct().withColumns({"depth": F.lit(0), "how": first}), "reached")
     frontier = seen
-    levels = [seen]
     for level in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("dst")).join(edges, "dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("via"))
-        for known in levels:
-            step = step.join(known.select("node"), "node", "left_anti")
-        frontier = settle(step.select("node", F.lit(level).alias("depth"), "via"), "reached")
+        met = frontier.withColumnRenamed("node", "dst").join(edges, [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.min(step).alias("how"))
+        new = met.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
+        frontier = settle(new.select(*keys, "node", F.lit(level).alias("depth"), "how"), "reached")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.where("depth > 0")
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0")
+
+
+def reached(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, depth, via: nodes within ``depth`` steps against the edges (src depends on dst), starts left out.
+
+    ``edges``: src, dst; ``starts``: node. ``via`` is the least of the nodes it is reached from.
+    """
+    return _levels(edges, starts, depth, [], F.lit(None).cast("string"), F.col("dst")).withColumnRenamed("how", "via")
+
+
+def propagate(edges: DataFrame, starts: DataFrame, depth: int, key: str) -> DataFrame:
+    """key, node, depth, path: as ``reached`` in many graphs at once (``key`` tells them), with the least of the shortest paths from a start."""
+    path = F.array("node")
+    return _levels(edges, starts, depth, [key], path, F.array_append("how", F.col("src"))).withColumnRenamed("how", "path")
