@@ -37,7 +37,7 @@ def brute(sets, t=0.7):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= t - 1e-9}
 
 
-@pytest.mark.parametrize(("region", "pivots"), [(64, 8), (4, 3)])
+@pytest.mark.parametrize(("region", "pivots"), [(8, 4), (2, 3)])
 def test_all_pairs_are_found(spark, monkeypatch, region, pivots):
     monkeypatch.setattr(metric_join, "REGION", region)  # small: every level of the recursion is used
     monkeypatch.setattr(metric_join, "PIVOTS", pivots)
@@ -47,6 +47,16 @@ def test_all_pairs_are_found(spark, monkeypatch, region, pivots):
     assert all(abs(v - jaccard(sets[a], sets[b])) < 1e-9 for (a, b), v in got.items())
 
 
+def test_the_query_goes_through_pivots(spark, monkeypatch):
+    from tracewright.llm.queries_duplicates import p4_found
+
+    rows = []
+    split = metric_join._split
+    monkeypatch.setattr(metric_join, "_split", lambda regions, *a: rows.append(regions.count()) or split(regions, *a))
+    assert p4_found(spark, "/root/testdata/sf0.1").count() > 0
+    assert rows and rows[0] > 0
+
+
 def test_pairs_of_odd_sets(spark):
     assert pairs_of(spark, {1: set(), 2: set(), 3: {5}, 4: {6}}) == {}
     assert pairs_of(spark, {1: set(range(10)), 2: set(range(7)), 3: set(range(6))}).keys() == {(1, 2), (2, 3)}

@@ -1,21 +1,22 @@
 """All pairs of sets within a Jaccard distance: a metric-space join by recursive Voronoi regions.
 
-Jaccard distance is a metric, so with a pivot ``p`` and a limit ``t`` on the distance
-
-* a pair within ``t`` has ``|d(x, p) - d(y, p)| <= t`` (window), and
-* if ``p`` is the pivot nearest to ``x``, then ``d(y, p) <= d(y, nearest to y) + 2 t`` (replication).
-
-A region is split by pivots taken from it: each set goes to the region of its nearest pivot, as a
-core, and is replicated to the regions whose bound it meets. A pair is then met in the region of
-either set's core. Regions are split again until they are small; what is left is joined exactly.
-
-Whole texts lie at distances close to 1 from each other, where a pivot among them separates nothing:
-the bounds would replicate nearly every set to every region. Therefore the first level's pivots are
-single shingles. The distance to a singleton ``{s}`` is ``1 - 1/|x|`` if ``s`` lies in ``x`` and 1
-if not, so all members of ``x`` are equally near pivots, and a pair within ``t`` has a common member
-among the first ``|x| - ceil((1 - t)|x|) + 1`` of both in any fixed order. With rare shingles first,
-these regions hold little but near-duplicates, and where one is large, pivots from its own members
-do separate it.
+Jaccard distance is a metric, so with a pivot ``p`` and a limit ``t`` on the distance a pair within
+``t`` has ``|d(x, p) - d(y, p)| <= t`` (the window about a pivot).
+
+A region is split by pivots taken from it. A set's home is the region of its nearest pivot if that
+lies within RADIUS, else the region far from all pivots. If ``x`` is at home with ``p``, then ``d(x, p)
+<= RADIUS``, and whatever is within ``t`` of it has ``d(y, p) <= RADIUS + t``: so each set is replicated to
+all pivots within RADIUS + t, and a pair meets where either is at home. Sets far from all pivots meet
+there. Bounding the radius is what makes the regions small: with unbounded ones the window is ``2 t`` about the
+nearest distance, which for unrelated texts, at distances close to 1, includes every pivot. A pivot's region
+is a family of related sets and is joined exactly, block by block, with the window as a filter; the
+sets far from all pivots are split again by pivots of their own until few are left.
+
+Whole texts separate nothing at the first level, where nearly all of them are far from any pivot.
+Therefore the first level's pivots are single shingles. The distance to a singleton ``{s}`` is ``1 - 1/|x|``
+if ``s`` lies in ``x`` and 1 if not, so all members of ``x`` are equally near pivots, and a pair within ``t`` has a
+common member among the first ``|x| - ceil((1 - t)|x|) + 1`` of both in any fixed order. With rare
+shingles first, these regions hold little but near-duplicates, whose own members are good pivots.
 
 Every candidate that is met is checked against the full sets. Nothing is sampled, capped or dropped.
 """
@@ -33,10 +34,12 @@ from pyspark.sql import types as T
 from tracewright.llm.shingles import similarity
 from tracewright.sources.scratch import settle
 
-#: Members above which a region is split; pivots of a split; levels of splitting.
-REGION = 64
-PIVOTS = 8
+#: Members above which a region is split; pivots of a split at least (the square root of the members, if that is more); levels.
+REGION = 8
+PIVOTS = 4
 LEVELS = 4
+#: How far from its pivot a set is at home. Unrelated texts are farther than RADIUS + t from each other.
+RADIUS = 0.5
 #: Shingles whose frequency is told exactly to all tasks, at most; the rarer ones count as equally rare.
 FREQUENT = 100_000
 _SLACK = 1e-9
@@ -74,27 +77,42 @@ def _seeds(sets: DataFrame, t: float) -> DataFrame:
     return sets.select("x", F.size("grams").alias("n"), F.posexplode(first("grams")).alias("at", "region"))
 
 
-def _split(regions: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Splits regions (region, x, n, at, core) by pivots of their own; ``at`` becomes the distance to the pivot."""
-    members = regions.select("region", "x", "n", "core").join(sets.select("x", "grams"), "x")
-    turn = F.struct(F.xxhash64("region", "x").alias("turn"), F.col("x").alias("p"), F.col("grams").alias("p_grams"))
-    # Pivots by least hash, one from each of PIVOTS shares of the region: combined on the map side.
-    share = F.pmod(F.xxhash64(F.lit(5), "x"), F.lit(PIVOTS))
-    pivots = members.groupBy("region", share.alias("share")).agg(F.min_by(turn, F.xxhash64("region", "x")).alias("pivot"))
-    near = members.join(pivots, "region").select("region", "x", "n", "core", F.col("pivot.p").alias("p"), (1 - similarity(F.col("grams"), F.col("pivot.p_grams"))).alias("d"))
-    nearest = near.groupBy("region", "x").agg(
+def _apart(pivots: DataFrame) -> DataFrame:
+    """Pivots (region, p, p_grams) without those within RADIUS of a lesser one: a family of alike sets needs one pivot, not several."""
+    a, b = pivots.alias("a"), pivots.select("region", F.col("p").alias("q"), F.col("p_grams").alias("q_grams")).alias("b")
+    close = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("q") < F.col("p"))).where(similarity(F.col("p_grams"), F.col("q_grams")) >= 1 - RADIUS)
+    return pivots.join(close.select("a.region", "p").distinct(), ["region", "p"], "left_anti")
+
+
+def _split(regions: DataFrame, sets: DataFrame, t: float, level: int) -> DataFrame:
+    """Splits regions (region, x, n, at, homes, m) by pivots of their own; ``at`` becomes the distance to the pivot.
+
+    Bit ``level`` of ``homes`` tells whether the set is at home in the new region, ``far`` whether that has no pivot.
+    """
+    members = regions.select("region", "x", "n", "homes", "m").join(sets.select("x", "grams"), "x")
+    # Pivots by least hash, one from each share of the region: combined on the map side.
+    pivot = F.struct(F.col("x").alias("p"), F.col("grams").alias("p_grams"))
+    shares = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("m")))
+    pivots = members.groupBy("region", F.pmod(F.xxhash64(F.lit(5), "x"), shares).alias("share")).agg(F.min_by(pivot, F.xxhash64("region", "x")).alias("pivot"))
+    pivots = _apart(settle(pivots.select("region", "pivot.p", "pivot.p_grams"), "pivots"))
+    near = members.join(pivots, "region").select("region", "x", "n", "homes", "p", (1 - similarity(F.col("grams"), F.col("p_grams"))).alias("d"))
+    entry = F.struct("d", "p")
+    seen = near.groupBy("region", "x").agg(
         F.any_value("n").alias("n"),
-        F.any_value("core").alias("core"),
-        F.min(F.struct("d", "p")).alias("best"),
-        F.collect_list(F.struct("d", "p")).alias("all"),  # PIVOTS entries at most
+        F.any_value("homes").alias("homes"),
+        F.min(F.when(F.col("d") <= RADIUS, entry)).alias("home"),
+        F.collect_list(F.when(F.col("d") <= RADIUS + t + _SLACK, entry)).alias("reach"),  # as many as there are pivots, at most
     )
-    reach = nearest.withColumn("to", F.explode(F.filter("all", lambda e: e["d"] <= F.col("best.d") + 2 * t + _SLACK)))
-    return reach.select(
-        F.xxhash64("region", "to.p").alias("region"),
+    far = F.when(F.col("home").isNull(), F.array(F.struct(F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("p"))))
+    placed = seen.withColumn("to", F.explode(F.concat("reach", F.coalesce(far, F.array().cast("array<struct<d:double,p:bigint>>")))))
+    at_home = F.col("to.p").eqNullSafe(F.col("home.p"))
+    return placed.select(
+        F.xxhash64(F.lit(level), "region", F.coalesce("to.p", F.lit(-1))).alias("region"),
+        F.col("to.p").isNull().alias("far"),
         "x",
         "n",
         F.col("to.d").alias("at"),
-        (F.col("core") & (F.col("to.p") == F.col("best.p"))).alias("core"),
+        F.col("homes").bitwiseOR(F.when(at_home, F.lit(1 << level)).otherwise(F.lit(0))).alias("homes"),
     )
 
 
@@ -113,16 +131,16 @@ def _blocks(regions: DataFrame) -> DataFrame:
     return cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def _meet(regions: DataFrame, t: float, near: Column) -> DataFrame:
-    """Candidate pairs (a < b) of a level's regions that pass the size window and ``near``."""
-    rows = _blocks(regions).select("region", "i", "j", "own", "x", "n", "at", "core")
+def _meet(regions: DataFrame, t: float, near: Column, levels: int = 0) -> DataFrame:
+    """Candidate pairs (a < b) of regions split ``levels`` times that pass the size window and ``near``; on each level one of them is at home."""
+    rows = _blocks(regions).select("region", "i", "j", "own", "x", "n", "at", "homes")
     a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.region") == F.col("b.region")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     # Of two blocks each pair is met once: the first from block i, the second from block j.
     turn = (F.col("a.own") == F.col("a.i")) & (F.col("b.own") == F.col("b.j")) & ((F.col("a.i") != F.col("a.j")) | (F.col("a.x") < F.col("b.x")))
     size = F.least("a.n", "b.n") >= (1 - t) * F.greatest("a.n", "b.n") - _SLACK
-    core = F.col("a.core") | F.col("b.core")
-    met = a.join(b, same & turn & size & core & near)
+    home = F.col("a.homes").bitwiseOR(F.col("b.homes")) == (1 << levels) - 1
+    met = a.join(b, same & turn & size & home & near)
     return met.select(F.least("a.x", "b.x").alias("a"), F.greatest("a.x", "b.x").alias("b"))
 
 
@@ -139,16 +157,16 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     by_rank = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
     window = F.abs(F.col("a.at") - F.col("b.at")) <= t + _SLACK
 
-    seeds = settle(_sized(_seeds(sets, t).withColumn("core", F.lit(True))), "regions")
+    seeds = settle(_sized(_seeds(sets, t).withColumn("homes", F.lit(0))), "regions")
     met = _meet(seeds.where(F.col("m") <= REGION), t, by_rank)
     large = seeds.where(F.col("m") > REGION)
     for level in range(LEVELS):
         if large.isEmpty():
             break
-        parts = settle(_sized(_split(large, sets, t)), f"regions-{level}")
-        last = level == LEVELS - 1
-        met = met.unionByName(_meet(parts if last else parts.where(F.col("m") <= REGION), t, window))
-        large = parts.where(F.col("m") > REGION)
+        parts = settle(_sized(_split(large, sets, t, level)), f"regions-{level}")
+        again = F.col("far") & (F.col("m") > REGION) if level < LEVELS - 1 else F.lit(False)
+        met = met.unionByName(_meet(parts.where(~again), t, window, level + 1))
+        large = parts.where(again)
     met = settle(met.distinct(), "met")
     left = met.join(sets.select(F.col("x").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = left.join(sets.select(F.col("x").alias("b"), F.col("grams").alias("b_grams")), "b")

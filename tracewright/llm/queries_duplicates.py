@@ -39,11 +39,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of fixes that are alike; copies have the same set and are expanded here."""
     fixes, pairs = _linked(spark, d)
     members = fixes.where("n > 0").select("id", "x")
-    left = pairs.select(F.col("a").alias("x"), "b").unionByName(members.select("x").distinct().select("x", F.col("x").alias("b")))
-    met = left.join(members.withColumnRenamed("id", "id_x"), "x").drop("x").join(members.select(F.col("x").alias("b"), F.col("id").alias("id_y")), "b")
-    # Within a set every pair is met both ways; between sets, once.
-    both = met.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))
-    return both.where("id_a < id_b").distinct()
+    other = members.select(F.col("id").alias("other"), "x")
+    copies = members.join(other, "x").where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
+    left = pairs.select(F.col("a").alias("x"), "b").join(members, "x").select("id", F.col("b").alias("x"))
+    across = left.join(other, "x").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+    return copies.unionByName(across)  # an id has one set, so no pair is met twice
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
