@@ -15,7 +15,7 @@ from tracewright.functions.fields import base_address, comma_tags, module_path
 from tracewright.functions.text import instant_us
 from tracewright.operators.graph import propagate
 from tracewright.operators.plan import attribute_category, control_point
-from tracewright.operators.search import cluster_key
+from tracewright.operators.search import anchor, anchors, cluster_key
 
 #: Points of an action; factors; limits.
 POINTS = {"create": 8, "delete": 20, "replace": 25, "update": 5}
@@ -109,18 +109,6 @@ def leaf_pair(address: Column) -> Column:
     return F.when((n >= 2) & (F.size(starts) > 0), F.array_join(F.slice(parts, F.array_max(starts) + 1, n), ".")).otherwise(address)
 
 
-def _anchor(address: Column) -> Column:
-    """The characters about an address's last dot: what a text that holds the address has too."""
-    long, short = F.regexp_extract(address, r"(.{3}\..)[^.]*$", 1), F.regexp_extract(address, r"(.\..)[^.]*$", 1)
-    return F.when(long != "", F.concat(F.lit("3"), long)).when(short != "", F.concat(F.lit("1"), short))
-
-
-def _anchors(text: Column) -> Column:
-    three = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}\..))"), F.lit(1)), lambda a: F.concat(F.lit("3"), a))
-    one = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.\..))"), F.lit(1)), lambda a: F.concat(F.lit("1"), a))
-    return F.array_union(three, one)
-
-
 def _prepared(fixes: DataFrame, now_us: int) -> DataFrame:
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     text = F.lower(F.concat_ws(" ", filled("issue"), filled("resolution"), filled("error_excerpt")))
@@ -142,8 +130,8 @@ def fix_signals(nodes: DataFrame, fixes: DataFrame, key: str, now_us: int) -> Da
     n = nodes.select(key, "ord", "address", "action", "changed_attrs", "attr_categories", lower(F.col("resource_type")).alias("rt"), F.lower(base_address(F.col("address"))).alias("whole"), F.lower(leaf_pair(F.col("address"))).alias("leaf"), F.lower(F.nullif(module_path(F.concat(F.col("address"), F.lit("."))), F.lit(""))).alias("mod"))
     tokens = f.select("seq", F.explode(F.array_union("words", "tag_list")).alias("rt"))
     by_type = n.where("rt <> ''").select(key, "ord", "rt").join(tokens, "rt").select(key, "ord", "seq")
-    anchored = n.select(key, "ord", "whole", "leaf", F.explode(F.array_distinct(F.array_compact(F.array(_anchor(F.col("whole")), _anchor(F.col("leaf")))))).alias("anchor"))
-    spots = f.select("seq", "t", F.explode(_anchors(F.col("t"))).alias("anchor"))
+    anchored = n.select(key, "ord", "whole", "leaf", F.explode(F.array_distinct(F.array_compact(F.array(anchor(F.col("whole")), anchor(F.col("leaf")))))).alias("anchor"))
+    spots = f.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor"))
     by_address = anchored.join(spots, "anchor").where(F.col("t").contains(F.col("whole")) | F.col("t").contains(F.col("leaf"))).select(key, "ord", "seq")
     pairs = by_type.unionByName(by_address).distinct().join(n, [key, "ord"]).join(f, "seq")
 
@@ -367,7 +355,7 @@ def history_prior(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 3) -
     text = F.lower(F.concat_ws(" ", F.nullif("issue", F.lit("")), F.nullif("error_excerpt", F.lit(""))))
     f = fixes.withColumn("t", text)
     n = nodes.select(key, F.lower("address").alias("whole"), F.lower("resource_type").alias("rt"), (F.col("is_control_point") | F.col("action").isin("delete", "replace")).alias("hard"))
-    named = n.select(key, "whole", _anchor(F.col("whole")).alias("anchor")).join(f.select("seq", "t", F.explode(_anchors(F.col("t"))).alias("anchor")), "anchor").where(F.col("t").contains(F.col("whole"))).select(key, "seq")
+    named = n.select(key, "whole", anchor(F.col("whole")).alias("anchor")).join(f.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor")), "anchor").where(F.col("t").contains(F.col("whole"))).select(key, "seq")
     open_ = n.groupBy(key).agg(F.bool_or("hard").alias("hard")).where("hard")
     concerned = f.where(F.arrays_overlap(comma_tags(F.col("tags")), F.array(*map(F.lit, CONCERNS))))
     typed = n.join(open_, key, "left_semi").join(types_in_tags(n, concerned), "rt").select(key, "seq")

@@ -11,11 +11,7 @@ from pyspark.sql.window import Window
 from tracewright.functions.fields import comma_tags, searchable
 
 #: Fixed value: words too common to tell texts apart.
-STOP_WORDS = "the and for with that this from was were are not has have had been its but can did does".split()
-
-
-#: Fixed value: all stop words of the reference's keyword extraction.
-ALL_STOP_WORDS = (
+STOP_WORDS = (
     "the a an is are was were be been being have has had do does did will would could should may might must shall "
     "can need dare ought used to of in for on with at by from as into through during before after above below between "
     "under again further then once here there when where why how all each few more most other some such no nor not only "
@@ -53,7 +49,7 @@ def by_type(df: DataFrame, resource_type: str) -> DataFrame:
 
 def by_whole_type(df: DataFrame, resource_type: str) -> DataFrame:
     """Rows that have the type as a tag, or as a whole word of their text."""
-    word = r"(?i)\b" + resource_type + r"\b"
+    word = r"(?i)\b\Q" + resource_type + r"\E\b"
     return df.where(F.array_contains(comma_tags(df["tags"]), resource_type.lower()) | text_of(df).rlike(word))
 
 
@@ -62,16 +58,10 @@ def by_id_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.where(F.lower("id").startswith(prefix.lower())).orderBy("seq").limit(1)
 
 
-def tokens(c: Column) -> Column:
-    """The different words of three letters or more, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_\\s]", ""), r"\s+")
-    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
-
-
 def keywords(c: Column) -> Column:
-    """The different words of three letters or more by the reference's rule: letters of any script, all its stop words left out."""
+    """The different words of three letters or more letters of any script, without stop words."""
     words = F.split(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+")
-    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in ALL_STOP_WORDS]))
+    return F.array_except(F.filter(F.array_distinct(words), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def cluster_key(issue: Column) -> Column:
@@ -94,3 +84,41 @@ def most_alike(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     score = F.round(F.col("shared") / (F.col("qn") + F.col("n") - F.col("shared")), 6)
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
     return met.withColumn("score", score).withColumn("place", best).where(F.col("place") <= k).select("query", "item", "shared", "score", "place")
+
+
+def anchor(needle: Column) -> Column:
+    """The characters about a needle's last dot, which a text that holds it has too; null without a dot between others."""
+    long, short = F.regexp_extract(needle, r"(.{3}\..)[^.]*$", 1), F.regexp_extract(needle, r"(.\..)[^.]*$", 1)
+    return F.when(long != "", F.concat(F.lit("3"), long)).when(short != "", F.concat(F.lit("1"), short))
+
+
+def anchors(text: Column) -> Column:
+    """The characters about all dots of a text, as ``anchor`` gives them."""
+    three = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}\..))"), F.lit(1)), lambda a: F.concat(F.lit("3"), a))
+    one = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.\..))"), F.lit(1)), lambda a: F.concat(F.lit("1"), a))
+    return F.array_union(three, one)
+
+
+def needles_in(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """needle, seq: which different needles (column needle) lie within which texts (seq, t), as substrings.
+
+    A needle of word characters lies within a word; the corpus's different words are cut into all pieces
+    of the lengths that needles have, and meet them as equals. One with a dot meets texts by the characters about it
+    and is then looked for. Needles of other forms are not supported and meet nothing. The lengths come
+    to the driver: one number each.
+    """
+    needles = needles.where(F.length("needle") > 0).distinct()
+    plain = needles.where(F.col("needle").rlike(r"^\w+$"))
+    lengths = sorted(r[0] for r in plain.select(F.length("needle")).distinct().collect())
+    words = texts.select("seq", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)))).alias("word"))
+
+    def cut(n: int) -> Column:
+        starts = F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(n)))
+
+    pieces = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(cut, lengths)) if lengths else F.array().cast("array<string>"))).alias("needle"))
+    by_word = pieces.join(plain, "needle").join(words, "word").select("needle", "seq").distinct()
+    dotted = needles.where(~F.col("needle").rlike(r"^\w+$")).select("needle", anchor(F.col("needle")).alias("anchor"))
+    spots = texts.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor"))
+    by_dot = dotted.join(spots, "anchor").where(F.col("t").contains(F.col("needle"))).select("needle", "seq")
+    return by_word.unionByName(by_dot)

@@ -179,8 +179,8 @@ n AS (SELECT plan_id, ord, rt, rt || '.r' || l_suppkey AS address, action, l_par
  list_filter([CASE WHEN action<>'update' OR l_linestatus<>'O' THEN 'acl' END, CASE WHEN action<>'update' OR tax<>disc THEN 'ami' END, CASE WHEN action<>'delete' THEN 'ingress' END], lambda x: x IS NOT NULL) AS attrs FROM n0)"""
 _E = """e AS (SELECT plan_id, address AS dst, 'dep.d' || (ord % 3) || '_' || (l_partkey % 5) AS near, 'far.f' || (ord % 2) AS far, 'base.b' || (ord % 2) AS base, 'side.s' || (ord % 2) AS side, category FROM n),
 deep AS (SELECT plan_id, bool_or(category<>'' OR action='delete') AS deep FROM n GROUP BY 1),
-r1 AS (SELECT plan_id, near AS node, 1 AS depth, min(dst || '>' || near) AS path FROM e GROUP BY 1,2 UNION ALL SELECT plan_id, side, 1, min(base || '>' || side) FROM e WHERE category<>'' GROUP BY 1,2),
-r2 AS (SELECT e.plan_id, far AS node, 2 AS depth, min(r1.path || '>' || far) AS path FROM e JOIN r1 ON e.plan_id=r1.plan_id AND e.near=r1.node JOIN deep ON deep.plan_id=e.plan_id WHERE deep GROUP BY 1,2),
+r1 AS (SELECT plan_id, near AS node, 1 AS depth, min([dst, near]) AS path FROM e GROUP BY 1,2 UNION ALL SELECT plan_id, side, 1, min([base, side]) FROM e WHERE category<>'' GROUP BY 1,2),
+r2 AS (SELECT e.plan_id, far AS node, 2 AS depth, min(list_append(r1.path, far)) AS path FROM e JOIN r1 ON e.plan_id=r1.plan_id AND e.near=r1.node JOIN deep ON deep.plan_id=e.plan_id WHERE deep GROUP BY 1,2),
 a AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
 _F = """f0 AS (SELECT n.plan_id, count(*) AS changes, count(*) FILTER (category<>'') AS control_points, bool_and(action='create') AS greenfield, bool_and(action='update' AND category='') AS plain, sum(CAST(CASE action WHEN 'create' THEN 8 WHEN 'delete' THEN 20 ELSE 5 END AS DECIMAL(12,4)) * CASE WHEN category<>'' THEN 1.5 ELSE 1.0 END) AS p, sum(CAST(CASE WHEN category<>'' THEN 6 ELSE 2.4 END AS DECIMAL(12,4))) AS q, sum(CASE WHEN action='update' AND category IN ('iam','rbac') AND false THEN 8 ELSE 0 END) AS s FROM n GROUP BY 1),
 f AS (SELECT f0.*, coalesce((SELECT count(*) FROM a WHERE a.plan_id=f0.plan_id AND depth=1),0) AS l1, coalesce((SELECT count(*) FROM a WHERE a.plan_id=f0.plan_id AND depth=2),0) AS l2, coalesce((SELECT o_custkey % 5 FROM orders WHERE o_orderkey=f0.plan_id),0) AS history FROM f0),
@@ -208,7 +208,7 @@ _REL = (
 )
 SQL = {
     "risk_nodes": f"WITH {_N} SELECT plan_id, ord, address, action, category<>'' AS is_control_point, category, CAST(criticality AS DOUBLE) AS criticality, array_to_string(attrs,',') AS attrs, array_to_string(list_sort(list_distinct(list_transform(attrs, lambda x: CASE x WHEN 'acl' THEN 'access' WHEN 'ami' THEN 'image' ELSE 'networking' END))),',') AS categories FROM n",
-    "risk_affected": f"WITH {_N}, {_E} SELECT plan_id, node, depth, path FROM a",
+    "risk_affected": f"WITH {_N}, {_E} SELECT plan_id, node, depth, array_to_string(path, '>') AS path FROM a",
     "risk_score": f"WITH {_N}, {_E}, {_F} SELECT plan_id, changes, control_points, l1, l2, greenfield, score, {_SEV} AS severity, score>=50 AS blocks FROM h",
     "risk_severities": f"WITH {_N}, {_E}, {_F} SELECT {_SEV} AS severity, count(*) AS n, min(score) AS least, max(score) AS most FROM h GROUP BY 1",
     "risk_explanations": f"""WITH {_N}, {_E}, {_F} SELECT n.plan_id, ord, 0 AS sub, action || ' ' || address || CASE WHEN category<>'' AND greenfield THEN ' (boundary resource, greenfield)' WHEN category<>'' THEN ' (boundary resource)' WHEN greenfield THEN ' (greenfield)' ELSE '' END AS label,
