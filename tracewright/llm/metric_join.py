@@ -35,9 +35,9 @@ from tracewright.llm.shingles import similarity
 from tracewright.sources.scratch import settle
 
 #: Members above which a region is split; pivots of a split at least (the square root of the members, if that is more); levels.
-REGION = 8
+REGION = 16
 PIVOTS = 4
-LEVELS = 4
+LEVELS = 2
 #: How far from its pivot a set is at home. Unrelated texts are farther than RADIUS + t from each other.
 RADIUS = 0.5
 #: Shingles whose frequency is told exactly to all tasks, at most; the rarer ones count as equally rare.
