@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import core, parsing, relations, risk, search, state, streams
+from tracewright.plans import core, imports, parsing, relations, risk, search, state, streams
 
-FAMILIES = [core, search, parsing, risk, state, relations, streams]
+FAMILIES = [core, search, parsing, risk, imports, state, relations, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
