@@ -125,3 +125,11 @@ def test_sample_is_of_rows_not_of_contexts(spark):
 @pytest.mark.parametrize("piece", ["oskis[AT]ops[DOT]example", "oskis{at}ops.example", "oskis (At) ops.example", "oskis\tat\nops dot example"])
 def test_every_spelling_of_at_is_looked_at(piece):
     assert piece in [t[s.start : s.end] for t in [f"mail {piece} now"] for s in candidates(t, GAZ) if s.kind == "email"]
+
+
+def test_a_title_is_no_part_of_a_name():
+    from tracewright.llm.pii_spans import Gazetteer, candidates
+
+    text = "As Prof. Dunnleway said, As Dr Wickucci said. Miss Norela Quillane came."
+    found = {text[s.start : s.end] for s in candidates(text, Gazetteer({"norela"}, {"quillane", "dunnleway", "wickucci"}, set())) if s.kind == "person_name"}
+    assert found == {"Dunnleway", "Wickucci", "Norela Quillane"}

@@ -177,14 +177,41 @@ class Classifier:
 
 
 class Finder:
-    """What a run has learned: the lists and the classifier; ``told`` is what the lists say of the texts learned from."""
+    """What a run has learned: the lists and the classifier, and the candidates of the texts learned from."""
 
-    def __init__(self, lists: Lists, classifier: Classifier, texts: DataFrame, told: DataFrame) -> None:
-        self.lists, self.classifier, self._texts, self._told = lists, classifier, texts, told
+    def __init__(self, lists: Lists, classifier: Classifier, texts: DataFrame, found: DataFrame) -> None:
+        self.lists, self.classifier, self._texts, self._found = lists, classifier, texts, found
 
-    def tell(self, texts: DataFrame) -> DataFrame:
-        """``Lists.tell``; not looked up again for the texts learned from."""
-        return self._told if texts is self._texts else self.lists.tell(texts)
+    def candidates(self, texts: DataFrame) -> DataFrame:
+        """``candidates_of``; those of the texts learned from are not looked for again."""
+        return self._found if texts is self._texts else candidates_of(texts, self.lists)
+
+
+#: Separates a candidate's features in one text; white space, so no feature holds it.
+_UNIT = "\x1f"
+_FOUND = "starts array<int>, ends array<int>, kinds array<string>, votes array<string>, features array<string>, pieces array<string>"
+
+
+def candidates_of(texts: DataFrame, lists: Lists) -> DataFrame:
+    """The other columns of ``texts`` (column ``text``) and the candidates of each text that has any, as parallel arrays.
+
+    One row a text, so that overlapping candidates are settled later without a shuffle.
+    """
+    keys = [c for c in texts.columns if c != "text"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *key, text, known in batch.itertuples(index=False, name=None):
+                if spans := candidates(text, Gazetteer.told(known)):
+                    votes = [",".join(map(str, s.votes)) for s in spans]
+                    rows.append((*key, [s.start for s in spans], [s.end for s in spans], [s.kind for s in spans], votes, [_UNIT.join(s.features) for s in spans], [text[s.start : s.end] for s in spans]))
+            yield pd.DataFrame(rows, columns=[*keys, "starts", "ends", "kinds", "votes", "features", "pieces"])
+
+    source = texts.select(*keys, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    known = _with_known(source, "text", settle(lists.tell(texts), "told"), "known")
+    return settle(spread(known).mapInPandas(scan, f"{schema}, {_FOUND}"), "candidates")
 
 
 def choose(classifier: Classifier, spans: list[Span]) -> list[Span]:
@@ -210,23 +237,14 @@ def sample_of(spans: DataFrame, size: int) -> DataFrame:
 def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
     """Learns from ``texts`` (column ``text``, not null; read it from a table), a staff list and ``authors`` (column ``author``)."""
     lists = Lists.learn(texts, roster, authors)
-    told = settle(lists.tell(texts), "told")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (r, s.start, s.kind, list(s.votes), s.features)
-                for r, t, k in zip(batch["row"], batch["text"], batch["known"], strict=True)
-                for s in candidates(t, Gazetteer.told(k))
-            ]
-            yield pd.DataFrame(rows, columns=["row", "start", "kind", "votes", "features"])
-
-    source = _with_known(texts.select(F.xxhash64(*texts.columns).alias("row"), "text"), "text", told, "known")
-    spans = settle(spread(source).mapInPandas(scan, "row long, start int, kind string, votes array<int>, features array<string>"), "candidates")
+    found = candidates_of(texts, lists)
+    keys = [c for c in texts.columns if c != "text"]
+    each = F.explode(F.arrays_zip("starts", "kinds", "votes", "features")).alias("e")
+    spans = found.select(F.xxhash64(*keys).alias("row"), each).select("row", F.col("e.starts").alias("start"), F.col("e.kinds").alias("kind"), "e.votes", "e.features")
     patterns = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** LABELERS rows of each type at most
     belief: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind in TYPES:
-        rows = sorted((tuple(r["votes"]), r["n"]) for r in patterns if r["kind"] == kind)
+        rows = sorted((_votes(r["votes"]), r["n"]) for r in patterns if r["kind"] == kind)
         if rows:
             p = reliabilities(np.array([v for v, _ in rows]), np.array([n for _, n in rows]))
             belief |= {(kind, v): float(x) for (v, _), x in zip(rows, p, strict=True)}
@@ -234,8 +252,13 @@ def learn(texts: DataFrame, roster: DataFrame, authors: DataFrame) -> Finder:
     for kind in TYPES:
         sample = sample_of(spans.where(F.col("kind") == kind), TRAINED).collect()
         if sample:
-            model.fit(kind, [_vector(np.array(r["votes"]), r["features"]) for r in sample], np.array([belief[kind, tuple(r["votes"])] for r in sample]))
-    return Finder(lists, model, texts, told)
+            votes = [_votes(r["votes"]) for r in sample]
+            model.fit(kind, [_vector(np.array(v), r["features"].split(_UNIT)) for v, r in zip(votes, sample, strict=True)], np.array([belief[kind, v] for v in votes]))
+    return Finder(lists, model, texts, found)
+
+
+def _votes(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split(",")))
 
 
 def find_spans(texts: DataFrame, keys: list[str], finder: Finder) -> DataFrame:
@@ -245,14 +268,16 @@ def find_spans(texts: DataFrame, keys: list[str], finder: Finder) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for *key, text, known in batch.itertuples(index=False, name=None):
-                got = {(s.kind, text[s.start : s.end]) for s in find(text, known, shared.value)}
+            for *key, starts, ends, kinds, votes, features, pieces in batch.itertuples(index=False, name=None):
+                spans = [Span(s, e, k, _votes(v), f.split(_UNIT)) for s, e, k, v, f in zip(starts, ends, kinds, votes, features, strict=True)]
+                piece = {(s, e): p for s, e, p in zip(starts, ends, pieces, strict=True)}
+                got = {(s.kind, piece[s.start, s.end]) for s in choose(shared.value, spans)}
                 rows += [(*key, *g) for g in sorted(got)]
             yield pd.DataFrame(rows, columns=[*keys, "pii_type", "pii_text"])
 
-    source = texts.select(*keys, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return spread(_with_known(source, "text", finder.tell(texts), "known")).mapInPandas(run, f"{schema}, pii_type string, pii_text string")
+    found = finder.candidates(texts).select(*keys, *[x.split()[0] for x in _FOUND.split(", ")])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[: len(keys)])
+    return found.mapInPandas(run, f"{schema}, pii_type string, pii_text string")
 
 
 def redact_columns(df: DataFrame, columns: list[str], finder: Finder) -> DataFrame:

@@ -328,17 +328,19 @@ def _names(text: str, gaz: Gazetteer) -> list[Span]:
 
     def proper(i: int) -> bool:
         w = words[i][2]
-        return w[0].isupper() and len(w) > 1
+        return w[0].isupper() and len(w) > 1 and fold(w) not in _TITLE_WORDS
 
     for i in range(n):
         start, _, w = words[i]
         if start in titles:
             j = particles(i)
-            if proper(j) or gaz.like(words[j][2], False):
-                k = j + 1
-                if not (k < n and blank(j, k) and gaz.like(words[k][2], False) and gaz.like(words[j][2], True)):
-                    add(i, j, None, words[j][2])
-            continue
+            k = j + 1
+            named = proper(j) or gaz.like(words[j][2], False)
+            whole = named and k < n and blank(j, k) and gaz.like(words[k][2], False) and gaz.like(words[j][2], True)
+            if named and not whole:
+                add(i, j, None, words[j][2])
+            if not whole:  # else a given name follows the title, and the name is found like any other
+                continue
         if fold(w) in _TITLE_WORDS:
             continue
         likely = gaz.like(w, True) and len(w) > 2
