@@ -59,7 +59,7 @@ def _frequent(sets: DataFrame) -> np.ndarray:
 
 
 def _seeds(sets: DataFrame, t: float) -> DataFrame:
-    """region, x, n, at: for each set the singleton regions it belongs to, with its size and the singleton's rank in it."""
+    """region, x, n, rank: for each set the singleton regions it belongs to, with its size and the singleton's rank in it."""
     table = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -74,7 +74,7 @@ def _seeds(sets: DataFrame, t: float) -> DataFrame:
             out.append(g[order[: len(g) - math.ceil((1 - t) * len(g) - _SLACK) + 1]])
         return pd.Series(out, dtype=object)
 
-    return sets.select("x", F.size("grams").alias("n"), F.posexplode(first("grams")).alias("at", "region"))
+    return sets.select("x", F.size("grams").alias("n"), F.posexplode(first("grams")).alias("rank", "region"))
 
 
 def _apart(pivots: DataFrame) -> DataFrame:
@@ -85,21 +85,20 @@ def _apart(pivots: DataFrame) -> DataFrame:
 
 
 def _split(regions: DataFrame, sets: DataFrame, t: float, level: int) -> DataFrame:
-    """Splits regions (region, x, n, at, homes, m) by pivots of their own; ``at`` becomes the distance to the pivot.
+    """Splits regions (region, x, n, rank, at, homes, m) by pivots of their own; ``at`` becomes the distance to the pivot, ``rank`` stays that of the shared shingle.
 
     Bit ``level`` of ``homes`` tells whether the set is at home in the new region, ``far`` whether that has no pivot.
     """
-    members = regions.select("region", "x", "n", "homes", "m").join(sets.select("x", "grams"), "x")
+    members = regions.select("region", "x", "n", "rank", "homes", "m").join(sets.select("x", "grams"), "x")
     # Pivots by least hash, one from each share of the region: combined on the map side.
     pivot = F.struct(F.col("x").alias("p"), F.col("grams").alias("p_grams"))
     shares = F.greatest(F.lit(PIVOTS), F.ceil(F.sqrt("m")))
     pivots = members.groupBy("region", F.pmod(F.xxhash64(F.lit(5), "x"), shares).alias("share")).agg(F.min_by(pivot, F.xxhash64("region", "x")).alias("pivot"))
     pivots = _apart(settle(pivots.select("region", "pivot.p", "pivot.p_grams"), "pivots"))
-    near = members.join(pivots, "region").select("region", "x", "n", "homes", "p", (1 - similarity(F.col("grams"), F.col("p_grams"))).alias("d"))
+    near = members.join(pivots, "region").select("region", "x", "n", "rank", "homes", "p", (1 - similarity(F.col("grams"), F.col("p_grams"))).alias("d"))
     entry = F.struct("d", "p")
     seen = near.groupBy("region", "x").agg(
-        F.any_value("n").alias("n"),
-        F.any_value("homes").alias("homes"),
+        *[F.any_value(c).alias(c) for c in ("n", "rank", "homes")],
         F.min(F.when(F.col("d") <= RADIUS, entry)).alias("home"),
         F.collect_list(F.when(F.col("d") <= RADIUS + t + _SLACK, entry)).alias("reach"),  # as many as there are pivots, at most
     )
@@ -111,6 +110,7 @@ def _split(regions: DataFrame, sets: DataFrame, t: float, level: int) -> DataFra
         F.col("to.p").isNull().alias("far"),
         "x",
         "n",
+        "rank",
         F.col("to.d").alias("at"),
         F.col("homes").bitwiseOR(F.when(at_home, F.lit(1 << level)).otherwise(F.lit(0))).alias("homes"),
     )
@@ -133,7 +133,7 @@ def _blocks(regions: DataFrame) -> DataFrame:
 
 def _meet(regions: DataFrame, t: float, near: Column, levels: int = 0) -> DataFrame:
     """Candidate pairs (a < b) of regions split ``levels`` times that pass the size window and ``near``; on each level one of them is at home."""
-    rows = _blocks(regions).select("region", "i", "j", "own", "x", "n", "at", "homes")
+    rows = _blocks(regions).select("region", "i", "j", "own", "x", "n", "rank", "at", "homes")
     a, b = rows.alias("a"), rows.alias("b")
     same = (F.col("a.region") == F.col("b.region")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     # Of two blocks each pair is met once: the first from block i, the second from block j.
@@ -154,10 +154,10 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     sets = sets.where(F.size("grams") > 0)
     # Members that can still be common to both, if this shared shingle is the first that is.
     least = F.ceil(threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - _SLACK)
-    by_rank = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
+    by_rank = F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) >= least
     window = F.abs(F.col("a.at") - F.col("b.at")) <= t + _SLACK
 
-    seeds = settle(_sized(_seeds(sets, t).withColumn("homes", F.lit(0))), "regions")
+    seeds = settle(_sized(_seeds(sets, t).withColumns({"homes": F.lit(0), "at": F.lit(0.0)})), "regions")
     met = _meet(seeds.where(F.col("m") <= REGION), t, by_rank)
     large = seeds.where(F.col("m") > REGION)
     for level in range(LEVELS):
@@ -165,7 +165,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             break
         parts = settle(_sized(_split(large, sets, t, level)), f"regions-{level}")
         again = F.col("far") & (F.col("m") > REGION) if level < LEVELS - 1 else F.lit(False)
-        met = met.unionByName(_meet(parts.where(~again), t, window, level + 1))
+        met = met.unionByName(_meet(parts.where(~again), t, by_rank & window, level + 1))
         large = parts.where(again)
     met = settle(met.distinct(), "met")
     left = met.join(sets.select(F.col("x").alias("a"), F.col("grams").alias("a_grams")), "a")
