@@ -77,5 +77,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return action.unionByName(single.withColumn("leaf_pos", F.lit(1)))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+def p5_elements(spark: SparkSession, d: str) -> DataFrame:
+    """All flat tables of the plans as one: element, plan, row, parent's element and row, position, and columns as JSON."""
+    nodes = shredded_plans(spark, d).nodes
+    return nodes.select("plan_id", "element", "node", "parent_element", "parent_node", "pos", F.to_json("attrs").alias("columns"))
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The table of planned changes with keys: plan, row, position, and the columns most asked for."""
+    tables = shredded_plans(spark, d, PLAN_ELEMENTS)
+    rows = tables.table("resource_changes").where(F.col("parent_element").isNull())
+    return rows.select("plan_id", "node", F.col("pos").alias("change_pos"), *[F.col("attrs")[c].alias(c) for c in ("address", "type", "name", "provider_name")])
+
+
+QUERIES = {"p5_elements": p5_elements, "p5_changes": p5_changes, "p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}

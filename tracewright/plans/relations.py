@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,8 +67,7 @@ def change_actions(spark: SparkSession, d: str) -> DataFrame:
 def change_summary(spark: SparkSession, d: str) -> DataFrame:
     """Changes by action, by part size, and in all."""
     rows = _changes(spark, d).join(load(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    rows.createOrReplaceTempView("tw_changes")
-    return spark.sql("SELECT action, p_size, count(*) AS n FROM tw_changes GROUP BY GROUPING SETS ((action), (p_size), ())")
+    return spark.sql("SELECT action, p_size, count(*) AS n FROM {changes} GROUP BY GROUPING SETS ((action), (p_size), ())", changes=rows)
 
 
 def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +103,12 @@ _M = lambda c: _CASTS["money"].format(c)
 
 #: One text for both engines: the relational groundwork.
 _SHARED = {
-    "base_q1": f"SELECT l_returnflag, l_linestatus, sum({_M('l_quantity')}) AS sum_qty, sum({_M('l_extendedprice')}) AS sum_base, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
-    "base_q3": f"SELECT o_orderkey, sum({_M('l_extendedprice')}) AS revenue, o_orderpriority FROM customer JOIN orders ON c_custkey=o_custkey JOIN lineitem ON l_orderkey=o_orderkey WHERE c_mktsegment='BUILDING' GROUP BY o_orderkey, o_orderpriority ORDER BY revenue DESC, o_orderkey LIMIT 10",
-    "base_q5": f"SELECT n_name, sum({_M('l_extendedprice')}) AS revenue FROM customer JOIN orders ON c_custkey=o_custkey JOIN lineitem ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey AND c_nationkey=s_nationkey JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY n_name",
-    "base_q6": f"SELECT sum({_M('l_extendedprice')}) AS revenue, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+    "base_groups": f"SELECT l_returnflag, l_linestatus, sum({_M('l_quantity')}) AS sum_qty, sum({_M('l_extendedprice')}) AS sum_base, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+    "base_top_orders": f"SELECT o_orderkey, sum({_M('l_extendedprice')}) AS revenue, o_orderpriority FROM customer JOIN orders ON c_custkey=o_custkey JOIN lineitem ON l_orderkey=o_orderkey WHERE c_mktsegment='BUILDING' GROUP BY o_orderkey, o_orderpriority ORDER BY revenue DESC, o_orderkey LIMIT 10",
+    "base_star_join": f"SELECT n_name, sum({_M('l_extendedprice')}) AS revenue FROM customer JOIN orders ON c_custkey=o_custkey JOIN lineitem ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey AND c_nationkey=s_nationkey JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY n_name",
+    "base_filtered_sum": f"SELECT sum({_M('l_extendedprice')}) AS revenue, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
     "base_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_orderstatus='P')",
-    "base_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)",
+    "base_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_orderstatus='P')",
     "base_full": "SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) b ON a.c_nationkey=b.s_nationkey",
     "base_rollup": f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum({_M('o_totalprice')}) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "base_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
@@ -115,17 +116,21 @@ _SHARED = {
     "base_frame": f"SELECT o_custkey, o_orderkey, sum({_M('o_totalprice')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM orders",
     "base_lag": "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
     "base_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
-    "base_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem",
+    "base_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49",
     "base_distinct_counts": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY event_type",
     "base_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15",
 }
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
 def _shared(text: str):  # noqa: ANN202
+    """The text as a query over the tables, which are passed to it; no view is left in the session."""
+    named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", text)
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-            load(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+        return spark.sql(named, **{t: load(spark, d, t) for t in _TABLES if "{" + t + "}" in named})
 
     return run
 

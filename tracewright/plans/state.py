@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import fields as X
-from tracewright.operators import pending
+from tracewright.operators import pending, sync
 from tracewright.operators.current import current_rows
+from tracewright.sources.files import to_markdown
 from tracewright.sources.tables import load
 
 NOW_US = 1_767_225_600_000_000  # 2026-01-01, the injected "now"
@@ -50,9 +51,24 @@ def pending_latest_session(spark: SparkSession, d: str) -> DataFrame:
 
 def pending_supersede(spark: SparkSession, d: str) -> DataFrame:
     """Errors by status before and after older sessions are superseded."""
-    rows = _errors(spark, d)
-    after = pending.supersede(rows).select("seq", F.col("status").alias("after"))
-    return rows.select("seq", "status").join(after, "seq").groupBy("status", "after").agg(F.count(F.lit(1)).alias("n"))
+    return pending.supersede(_errors(spark, d)).groupBy(F.col("was").alias("status"), F.col("status").alias("after")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pending_older(spark: SparkSession, d: str) -> DataFrame:
+    """What is still pending from sessions before each context's latest."""
+    return pending.older_sessions(_errors(spark, d))
+
+
+def pending_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The errors documented when every third bundle is skipped."""
+    rows = _errors(spark, d).where("status = 'pending'")
+    choices = pending.bundles(rows).select("first_seq", F.when(F.col("first_seq") % 3 == 0, "s").alias("choice"))
+    return pending.resolve(rows, choices)[0].select("seq", "error_id")
+
+
+def pending_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by what their address is about."""
+    return _errors(spark, d).groupBy(X.kind_of(F.col("resource_address")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pending_bundles(spark: SparkSession, d: str) -> DataFrame:
@@ -126,16 +142,26 @@ def tag_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cols = ["issue", "resolution", "tags", "is_private"]
+    cols = ["issue", "resolution", "error_excerpt", "tags", "notes", "created_at", "updated_at", "author", "author_email", "is_private"]
     return tuple(current_rows(load(spark, d, t), cols) for t in ("fixes", "fixes_remote"))
 
 
 def sync_push(spark: SparkSession, d: str) -> DataFrame:
-    """Public fixes that the remote copy lacks or has with another text."""
-    local, remote = _sides(spark, d)
-    r = remote.select("fix_key", F.col("resolution").alias("r"), F.lit(True).alias("there"))
-    changed = F.col("there").isNull() | ~F.col("resolution").eqNullSafe(F.col("r"))
-    return local.where(~F.coalesce("is_private", F.lit(False))).join(r, "fix_key", "left").where(changed).select("fix_key")
+    """Public fixes whose document the remote copy lacks or has otherwise."""
+    local, remote = (x.withColumnRenamed("fix_key", "id") for x in _sides(spark, d))
+    return sync.to_push(local, to_markdown(remote)).select(F.col("id").alias("fix_key"))
+
+
+def sync_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """The fixes that both copies have, merged."""
+    local, remote = (x.withColumnRenamed("fix_key", "id") for x in _sides(spark, d))
+    return sync.resolved(local, remote, local.select("id", F.lit("merge").alias("choice")))
+
+
+def sync_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The local copy after a pull of the remote documents: ids, and whether they are private."""
+    local, remote = (x.withColumnRenamed("fix_key", "id") for x in _sides(spark, d))
+    return sync.rebuilt(local, to_markdown(remote)).select("id", F.coalesce("is_private", F.lit(False)).alias("is_private"))
 
 
 def sync_merge_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +177,7 @@ def sync_status(spark: SparkSession, d: str) -> DataFrame:
     r = remote.select("fix_key", F.lit(1).alias("r"))
     full = local.select("fix_key", "is_private", F.lit(1).alias("l")).join(r, "fix_key", "full")
     count = lambda c: F.count(F.when(c, 1))
-    return full.agg(count(F.col("r").isNull()).alias("ahead"), count(F.col("l").isNull()).alias("behind"), count(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"), count(F.col("is_private")).alias("private"))
+    return full.agg(count(F.col("r").isNull()).alias("ahead"), count(F.col("l").isNull()).alias("behind"), count(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"), count(F.col("is_private")).alias("private"), count(F.col("l").isNotNull() & ~F.coalesce("is_private", F.lit(False))).alias("pushable")).withColumn("state", sync.relation(F.col("ahead"), F.col("behind")))
 
 
 def conflict_log(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +188,7 @@ def conflict_log(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pending_latest, pending_open, pending_status_counts, pending_context, pending_latest_session, pending_supersede, pending_bundles, pending_sessions, command_families, error_ids, address_parts, file_lines, error_summary, import_clean, import_detect, import_slug, import_disposition, tag_merge, sync_push, sync_merge_tags, sync_status, conflict_log)
+    for f in (pending_latest, pending_open, pending_status_counts, pending_context, pending_latest_session, pending_supersede, pending_older, pending_resolved, pending_kinds, pending_bundles, pending_sessions, command_families, error_ids, address_parts, file_lines, error_summary, import_clean, import_detect, import_slug, import_disposition, tag_merge, sync_push, sync_resolve, sync_rebuilt, sync_merge_tags, sync_status, conflict_log)
 }
 
 _LATEST = "(SELECT * FROM pending_errors QUALIFY row_number() OVER (PARTITION BY error_id ORDER BY seq DESC)=1)"
@@ -186,7 +212,7 @@ SQL = {
     "pending_context": f"WITH t AS (SELECT cwd FROM pending_errors WHERE cwd IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, cwd LIMIT 1) SELECT command_family, count(*) AS n, count(DISTINCT session_id) AS sessions FROM pending_errors WHERE cwd=(SELECT cwd FROM t) AND {_AT} >= {NOW_US}-365*24*3600000000 AND {_AT} < {NOW_US} GROUP BY 1",
     "pending_latest_session": _SESSIONS,
     "pending_supersede": f"WITH s AS ({_SESSIONS}) SELECT p.status, CASE WHEN p.status='pending' AND p.session_id IS NOT NULL AND p.session_id<>s.session_id THEN 'superseded' ELSE p.status END AS after, count(*) AS n FROM pending_errors p LEFT JOIN s ON p.cwd IS NOT DISTINCT FROM s.cwd AND p.command_family IS NOT DISTINCT FROM s.command_family GROUP BY 1,2",
-    "pending_bundles": f"SELECT error_code, coalesce({_LINE},'') AS line, count(*) AS n, min(seq) AS first_seq FROM pending_errors GROUP BY error_code, coalesce({_LINE},''), CASE WHEN error_code IS NULL THEN seq END",
+    "pending_bundles": f"SELECT error_code, coalesce({_LINE},'') AS line, count(*) AS n, min(seq) AS first_seq FROM pending_errors GROUP BY error_code, coalesce({_LINE},''), CASE WHEN coalesce(error_code,'')='' THEN seq END",
     "pending_sessions": "SELECT cwd, count(DISTINCT session_id) AS sessions, count(*) AS n FROM pending_errors GROUP BY 1",
     "command_families": "SELECT array_to_string(list_slice(list_filter(string_split_regex(trim(coalesce(command,'')),'\\s+'), lambda w: w<>'' AND NOT starts_with(w,'-')),1,2),' ') AS family, count(*) AS n FROM pending_errors GROUP BY 1",
     "error_ids": "SELECT seq, substr(sha256(coalesce(resource_address,'')||chr(10)||coalesce(error_code,'')||chr(10)||coalesce(file,'')||chr(10)||regexp_replace(lower(substr(coalesce(short_message,''),1,160)),'^\\s+|\\s+$','','g')),1,12) AS stable_id FROM pending_errors",
@@ -198,8 +224,12 @@ SQL = {
     "import_slug": "SELECT trim(regexp_replace(regexp_replace(lower(status),'[ -]+','_','g'),'\\W','','g'),'_') AS slug, count(*) AS n FROM ticket_imports GROUP BY 1",
     "import_disposition": "WITH r AS (SELECT import_id, batch_no, lower(trim(source_key)) AS k, lower(source_system) AS s, regexp_matches(coalesce(issue,''),'\\S') AND regexp_matches(coalesce(resolution,''),'\\S') AS good FROM ticket_imports), w AS (SELECT *, row_number() OVER (PARTITION BY s,k,good ORDER BY batch_no, import_id) AS i FROM r) SELECT batch_no, CASE WHEN NOT good THEN 'bad' WHEN k IS NOT NULL AND i>1 THEN 'duplicate' ELSE 'new' END AS disposition, count(*) AS n FROM w GROUP BY 1,2",
     "tag_merge": "WITH v AS (SELECT seq, list_concat(list_transform(string_split(coalesce(tags,''),','), lambda t: trim(t)), [error_type, error_code]) AS v FROM pending_errors), u AS (SELECT seq, unnest(v) AS t, generate_subscripts(v,1) AS i FROM v), f AS (SELECT seq, arg_min(t,i) AS t, min(i) AS i FROM u WHERE t IS NOT NULL AND t<>'' GROUP BY seq, lower(t)) SELECT v.seq, coalesce((SELECT string_agg(t, ',' ORDER BY i) FROM f WHERE f.seq=v.seq),'') AS tags FROM v",
-    "sync_push": f"SELECT l.fix_key FROM {_cur('fixes')} l LEFT JOIN {_cur('fixes_remote')} r USING (fix_key) WHERE NOT coalesce(l.is_private,false) AND (r.id IS NULL OR l.resolution IS DISTINCT FROM r.resolution)",
+    "sync_push": f"SELECT l.fix_key FROM {_cur('fixes')} l LEFT JOIN {_cur('fixes_remote')} r USING (fix_key) WHERE NOT coalesce(l.is_private,false) AND (r.id IS NULL OR {' OR '.join(f"coalesce(l.{c},'')<>coalesce(r.{c},'')" for c in ('issue','resolution','error_excerpt','tags','notes','created_at','updated_at','author','author_email'))})",
+    "sync_resolve": f"SELECT fix_key AS id, r.issue, r.resolution, coalesce(nullif(r.error_excerpt,''),nullif(l.error_excerpt,'')) AS error_excerpt, nullif(array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(string_split(coalesce(l.tags,''),','),string_split(coalesce(r.tags,''),',')), lambda t: trim(t)), lambda t: t<>''))),','),'') AS tags, nullif(concat_ws(chr(10)||chr(10), CASE WHEN l.notes<>'' THEN '### Local Notes:'||chr(10)||l.notes END, CASE WHEN r.notes<>'' THEN '### Remote Notes:'||chr(10)||r.notes END, CASE WHEN l.resolution IS DISTINCT FROM r.resolution THEN '### Local Resolution (merged):'||chr(10)||l.resolution END),'') AS notes, l.created_at, r.updated_at, coalesce(nullif(r.author,''),nullif(l.author,'')) AS author, coalesce(nullif(r.author_email,''),nullif(l.author_email,'')) AS author_email, false AS is_private FROM {_cur('fixes')} l JOIN {_cur('fixes_remote')} r USING (fix_key)",
+    "pending_older": f"WITH s AS ({_SESSIONS}) SELECT p.cwd, p.command_family, count(DISTINCT p.session_id) AS sessions, count(*) AS errors FROM pending_errors p JOIN s ON p.cwd IS NOT DISTINCT FROM s.cwd AND p.command_family IS NOT DISTINCT FROM s.command_family WHERE p.status='pending' AND p.session_id<>s.session_id GROUP BY 1,2",
+    "pending_resolved": f"WITH b AS (SELECT min(seq) AS f FROM pending_errors WHERE status='pending' GROUP BY error_code, coalesce({_LINE},''), CASE WHEN coalesce(error_code,'')='' THEN seq END) SELECT seq, error_id FROM pending_errors WHERE seq IN (SELECT f FROM b WHERE f % 3 <> 0)",
+    "pending_kinds": "SELECT CASE WHEN resource_address='terraform.init' THEN 'terraform_init' WHEN regexp_matches(coalesce(resource_address,''),'^(variable|output|local|module)[.]') THEN 'terraform_config' ELSE 'resource' END AS kind, count(*) AS n FROM pending_errors GROUP BY 1",
     "sync_merge_tags": f"SELECT l.fix_key, array_to_string(list_sort(list_distinct(list_concat({_COMMA.format(t='l.tags')}, {_COMMA.format(t='r.tags')}))),',') AS tags FROM {_cur('fixes')} l JOIN {_cur('fixes_remote')} r USING (fix_key)",
-    "sync_status": f"SELECT count(*) FILTER (r.id IS NULL) AS ahead, count(*) FILTER (l.id IS NULL) AS behind, count(*) FILTER (r.id IS NOT NULL AND l.id IS NOT NULL) AS common, count(*) FILTER (l.is_private) AS private FROM {_cur('fixes')} l FULL JOIN {_cur('fixes_remote')} r USING (fix_key)",
+    "sync_status": f"SELECT count(*) FILTER (r.id IS NULL) AS ahead, count(*) FILTER (l.id IS NULL) AS behind, count(*) FILTER (r.id IS NOT NULL AND l.id IS NOT NULL) AS common, count(*) FILTER (l.is_private) AS private, count(*) FILTER (l.id IS NOT NULL AND NOT coalesce(l.is_private,false)) AS pushable, CASE WHEN count(*) FILTER (r.id IS NULL)>0 AND count(*) FILTER (l.id IS NULL)>0 THEN 'diverged' WHEN count(*) FILTER (r.id IS NULL)>0 THEN 'ahead' WHEN count(*) FILTER (l.id IS NULL)>0 THEN 'behind' ELSE 'up_to_date' END AS state FROM {_cur('fixes')} l FULL JOIN {_cur('fixes_remote')} r USING (fix_key)",
     "conflict_log": "SELECT conflict_type, count(*) AS n, count(DISTINCT lower(trim(fix_id))) AS fixes, CAST(max(detected_at) AT TIME ZONE 'UTC' AS TIMESTAMP) AS last FROM sync_conflicts GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.graph import dot_edges
+from tracewright.sources.scratch import settle
 
 FIX_SCHEMA = "id string, issue string, resolution string, error_excerpt string, tags string, notes string, created_at string, updated_at string, author string, author_email string, is_private boolean"
 #: Delimiters a ticket export may have, and the members that wrap a list of records.
@@ -25,9 +26,41 @@ def read_fixes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("is_private", F.coalesce("is_private", F.lit(False)))
 
 
-def upsert_fixes(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store with rows of ``new`` in place of those with the same id; of new rows with one id, any counts."""
-    return store.join(new.select("id"), "id", "left_anti").select(store.columns).unionByName(new.dropDuplicates(["id"]).select(store.columns))
+def upsert_fixes(store: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The store with rows of ``new`` in place of those with the same id; of new rows with one id the last by ``order`` counts (any, without it)."""
+    if order is None:
+        last = new.dropDuplicates(["id"])
+    else:
+        last = new.groupBy("id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "id"]), order).alias("r")).select("id", "r.*")
+    return store.join(new.select("id"), "id", "left_anti").select(store.columns).unionByName(last.select(store.columns))
+
+
+def write_store(fixes: DataFrame, path: str) -> None:
+    """Replaces the store at ``path`` (Parquet) by these fixes; an empty table purges it."""
+    settled = settle(fixes, "store")  # the fixes may come from that very path
+    settled.write.mode("overwrite").parquet(path)
+
+
+def write_markdown(fixes: DataFrame, path: str) -> None:
+    """Writes each fix's document as a text file below ``path``, in a folder named after its id."""
+    to_markdown(fixes).repartition("id").write.mode("overwrite").partitionBy("id").text(path)
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """id, markdown of all documents below ``path``: ``<id>.md``, or what ``write_markdown`` wrote."""
+    name = F.col("_metadata.file_path")
+    named = F.coalesce(F.nullif(F.regexp_extract(name, r"/id=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_extract(name, r"/([^/]+)\.md$", 1))
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return docs.select(F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))).alias("id"), F.col("value").alias("markdown")).where("id <> ''")
+
+
+PENDING_SCHEMA = "error_id string, error_type string, short_message string, error_excerpt string, tags string, deferred_at string, resource_address string, error_code string, file string, command string, cwd string, session_id string, status string, command_family string, kind string"
+
+
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of deferred errors; unreadable files and rows without an id give nothing, a missing status means pending."""
+    rows = spark.read.schema(PENDING_SCHEMA + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.where("_corrupt is null and error_id is not null").drop("_corrupt").withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
 def delete_by_prefix(store: DataFrame, prefix: str, order: str = "id") -> DataFrame:
@@ -57,7 +90,16 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
     """A ticket export with lower-case headers and trimmed cells; quoted cells may span lines."""
     raw = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path)).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("﻿").strip().lower()) for c in raw.columns])
+    return raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip().lower()) for c in raw.columns])
+
+
+def bad_csv_rows(spark: SparkSession, path: str) -> int:
+    """How many rows of a ticket export have another number of cells than its header."""
+    sep = sniff_delimiter(spark, path)
+    options = {"header": True, "sep": sep, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    columns = spark.read.options(**options).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
+    return spark.read.options(**options).schema(schema).csv(path).where("_corrupt is not null").select(F.count(F.lit(1))).first()[0]
 
 
 def read_ticket_json(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +119,8 @@ def to_markdown(fixes: DataFrame) -> DataFrame:
     line = lambda label, c, mark="": F.when(F.col(c) != "", F.concat(F.lit(f"**{label}:** {mark}"), F.col(c), F.lit(mark)))
     section = lambda title, c: F.when(F.col(c) != "", F.concat(F.lit(f"\n## {title}\n\n"), F.col(c)))
     fenced = F.when(F.col("error_excerpt") != "", F.concat(F.lit("\n## Error Excerpt\n\n```\n"), F.col("error_excerpt"), F.lit("\n```")))
+    # The first tag that tells a source and an id.
+    sourced = F.coalesce(F.get(F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t.rlike("^source:[^:]*:")), 0), F.lit(""))
     parts = [
         F.concat(F.lit("# Fix: "), F.substring("id", 1, 8), F.lit("\n")),
         line("Created", "created_at"),
@@ -84,6 +128,7 @@ def to_markdown(fixes: DataFrame) -> DataFrame:
         line("Author", "author"),
         line("Author Email", "author_email"),
         line("Tags", "tags", "`"),
+        F.when(sourced != "", F.concat(F.lit("**Source:** "), F.regexp_extract(sourced, "^source:([^:]*):(.*)$", 1), F.lit(" / "), F.regexp_extract(sourced, "^source:([^:]*):(.*)$", 2))),
         section("Issue", "issue"),
         section("Resolution", "resolution"),
         fenced,
