@@ -163,7 +163,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     for level in range(LEVELS):
         if large.isEmpty():
             break
-        parts = settle(_sized(_split(large, sets, t, level)), f"regions-{level}")
+        parts = settle(_sized(settle(_split(large, sets, t, level), f"split-{level}")), f"regions-{level}")
         again = F.col("far") & (F.col("m") > REGION) if level < LEVELS - 1 else F.lit(False)
         met = met.unionByName(_meet(parts.where(~again), t, by_rank & window, level + 1))
         large = parts.where(again)
