@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-folder of our own is made. What lies there survives the loss of executors, so the plans that follow
+The folder is the one in ``spark.checkpoint.dir``; only where that is unset and all runs on one
+machine (tests, a laptop) a folder of our own is made. On a cluster the setting is demanded. What lies there survives the loss of executors, so the plans that follow
 read it instead of recomputing.
 """
 
@@ -20,6 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tracewright-")
