@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tracewright.operators.search import cluster_key, keywords
-from tracewright.plans.search import history_cluster_best, similar_topk_keywords
+from tracewright.plans.search import history_best, similar_topk
 
 
 def test_cluster_key(spark):
@@ -17,11 +17,11 @@ def test_cluster_key(spark):
     assert {r.issue: r.k for r in rows.select("issue", cluster_key(F.col("issue")).alias("k")).collect()} == want
 
 
-def test_history_cluster_best(spark, tmp_path):
+def test_history_best(spark, tmp_path):
     t = "2024-01-01T00:00:00Z"
     rows = [(1, "a CrashLoopBackOff", t, "x"), (2, "b CrashLoopBackOff", t, "x"), (3, "c CrashLoopBackOff", "2025-01-01T00:00:00Z", None), (4, "one, two  three four five", t, None)]
     spark.createDataFrame(rows, "seq long, issue string, created_at string, error_excerpt string").write.parquet(f"{tmp_path}/fixes.parquet")
-    got = {(r.cluster, r.seq, r.n) for r in history_cluster_best(spark, str(tmp_path)).collect()}
+    got = {(r.cluster, r.seq, r.n) for r in history_best(spark, str(tmp_path)).collect()}
     assert got == {("CrashLoopBackOff", 1, 3), ("one two three four", 4, 1)}
 
 
@@ -30,4 +30,4 @@ def test_all_stop_words_are_left_out(spark, tmp_path):
     df = spark.createDataFrame(rows, "seq long, issue string, tags string")
     assert df.where("seq = 9").select(keywords(F.col("issue"))).first()[0] == ["quota"]
     df.write.parquet(f"{tmp_path}/fixes.parquet")
-    assert [(r.item, r.shared, r.score) for r in similar_topk_keywords(spark, str(tmp_path)).collect()] == [(9, 1, 0.5)]
+    assert [(r.item, r.shared, r.score) for r in similar_topk(spark, str(tmp_path)).collect()] == [(9, 1, 0.5)]

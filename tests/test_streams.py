@@ -20,10 +20,10 @@ def row(seq, day, hour=0, error="e", status="pending", text=None):
 
 
 def test_late_rows_are_ignored_and_old_state_dropped(spark, tmp_path):
-    # The third file comes after the watermark has passed the first day by more than a day.
-    rows = stream(spark, f"{tmp_path}/in", [row(1, 1), row(2, 1, 5, status="resolved")], [row(3, 9)], [row(4, 1, 6, status="late"), row(5, 9, 1, status="superseded")], [row(6, 20)])
+    # Lateness is told from the batch before last, so the late row comes in the batch after the second one of day 9.
+    rows = stream(spark, f"{tmp_path}/in", [row(1, 1), row(2, 1, 5, status="resolved")], [row(3, 9)], [row(4, 9, 2)], [row(5, 1, 6, status="late"), row(6, 9, 1, status="superseded")], [row(7, 20)])
     got = run_to_end(latest_status_within(rows), spark, "append").collect()
-    assert {(r.day.day, r.seq, r.status) for r in got} == {(1, 2, "resolved"), (9, 5, "superseded")}
+    assert {(r.day.day, r.seq, r.status) for r in got} == {(1, 2, "resolved"), (9, 6, "superseded")}
 
 
 def test_sessions(spark, tmp_path):
