@@ -68,7 +68,7 @@ def _order_nodes(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("ord"), F.concat(rt, F.lit(".r"), F.col("l_suppkey").cast("string")).alias("address"), rt.alias("resource_type"),
         action.alias("action"), before.alias("before"), after.alias("after"),
     )
-    return P.nodes(rows)
+    return settle(P.nodes(rows), "nodes")  # read by several steps
 
 
 def _order_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def risk_affected(spark: SparkSession, d: str) -> DataFrame:
 
 def _order_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = _order_nodes(spark, d)
-    reached = R.affected(nodes, _order_edges(spark, d), "plan_id")
+    reached = settle(R.affected(nodes, _order_edges(spark, d), "plan_id"), "affected")
     history = load(spark, d, "orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_custkey") % 5).cast("int").alias("history"))
     return nodes, R.facts(nodes, "plan_id", reached, history)
 
@@ -137,7 +137,7 @@ def _session_nodes(spark: SparkSession, d: str) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     after = F.create_map(F.lit("tags"), F.lit("1"), F.lit("policy"), F.lit("1"))
     rows = first.select(F.col("session_id").alias("plan_id"), F.col("r.seq").alias("ord"), "address", rt.alias("resource_type"), action.alias("action"), none.alias("before"), after.alias("after"))
-    return P.nodes(rows)
+    return settle(P.nodes(rows), "nodes")  # read by several steps
 
 
 def relevant_fixes(spark: SparkSession, d: str) -> DataFrame:
