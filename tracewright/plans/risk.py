@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import plan as P
 from tracewright.operators import risk as R
 from tracewright.operators.current import current_rows
-from tracewright.sources.scratch import settle
+from tracewright.sources.scratch import settle, spread
 from tracewright.sources.tables import load
 
 NOW_US = 1_767_225_600_000_000  # 2026-01-01, the injected "now"
@@ -64,7 +64,7 @@ def _order_nodes(spark: SparkSession, d: str) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     before = F.create_map(F.lit("acl"), quoted("l_linestatus"), F.lit("ami"), percent("l_tax"), F.lit("id"), F.col("l_partkey").cast("string"))
     after = F.create_map(F.lit("acl"), F.lit('"O"'), F.lit("ami"), percent("l_discount"), F.lit("id"), F.col("l_suppkey").cast("string"), F.lit("ingress"), F.col("l_linenumber").cast("string"))
-    rows = load(spark, d, "lineitem").select(
+    rows = spread(load(spark, d, "lineitem")).select(
         F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("ord"), F.concat(rt, F.lit(".r"), F.col("l_suppkey").cast("string")).alias("address"), rt.alias("resource_type"),
         action.alias("action"), before.alias("before"), after.alias("after"),
     )
