@@ -15,7 +15,8 @@ from tracewright.functions.fields import base_address, comma_tags, module_path
 from tracewright.functions.text import instant_us
 from tracewright.operators.graph import propagate
 from tracewright.operators.plan import attribute_category, control_point
-from tracewright.operators.search import anchor, anchors, cluster_key
+from tracewright.operators.search import anchor, anchors, cluster_key, needles_in
+from tracewright.sources.scratch import settle
 
 #: Points of an action; factors; limits.
 POINTS = {"create": 8, "delete": 20, "replace": 25, "update": 5}
@@ -118,29 +119,21 @@ def _prepared(fixes: DataFrame, now_us: int) -> DataFrame:
     return rows.withColumn("code", F.array_max(F.transform(codes, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]).withColumn("recent", F.coalesce(age < RECENT_DAYS, F.lit(False)))
 
 
-def fix_signals(nodes: DataFrame, fixes: DataFrame, key: str, now_us: int) -> DataFrame:
-    """A row for each node and fix that have anything in common: key, ord, seq, base, signal, supporting, total.
+def _parts(nodes: DataFrame, key: str) -> DataFrame:
+    """What of a node can meet a fix: its type (rt), address without index (whole), the address's end (leaf) and its module (mod)."""
+    path = F.lower(F.nullif(module_path(F.concat(F.col("address"), F.lit("."))), F.lit("")))
+    return nodes.select(key, "ord", "address", "action", "changed_attrs", "attr_categories", F.lower(F.trim("resource_type")).alias("rt"), F.lower(base_address(F.col("address"))).alias("whole"), F.lower(leaf_pair(F.col("address"))).alias("leaf"), path.alias("mod"))
 
-    ``fixes``: seq, issue, resolution, error_excerpt, tags, created_at; one row a fix. Pairs meet by equal
-    words and tags (a type that is a whole word of the text, or a tag) and by the characters about an address's last
-    dot, never all by all. An address without a dot meets no text.
-    """
-    f = _prepared(fixes.select("seq", "issue", "resolution", "error_excerpt", "tags", "created_at"), now_us)
-    lower = lambda c: F.lower(F.trim(c))
-    n = nodes.select(key, "ord", "address", "action", "changed_attrs", "attr_categories", lower(F.col("resource_type")).alias("rt"), F.lower(base_address(F.col("address"))).alias("whole"), F.lower(leaf_pair(F.col("address"))).alias("leaf"), F.lower(F.nullif(module_path(F.concat(F.col("address"), F.lit("."))), F.lit(""))).alias("mod"))
-    tokens = f.select("seq", F.explode(F.array_union("words", "tag_list")).alias("rt"))
-    by_type = n.where("rt <> ''").select(key, "ord", "rt").join(tokens, "rt").select(key, "ord", "seq")
-    anchored = n.select(key, "ord", "whole", "leaf", F.explode(F.array_distinct(F.array_compact(F.array(anchor(F.col("whole")), anchor(F.col("leaf")))))).alias("anchor"))
-    spots = f.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor"))
-    by_address = anchored.join(spots, "anchor").where(F.col("t").contains(F.col("whole")) | F.col("t").contains(F.col("leaf"))).select(key, "ord", "seq")
-    pairs = by_type.unionByName(by_address).distinct().join(n, [key, "ord"]).join(f, "seq")
 
+def _with_signals(pairs: DataFrame) -> DataFrame:
+    """Pairs of a node (``_parts``) and a fix (``_prepared``) that have anything in common, with base, signal, supporting and total."""
     has_tag = F.array_contains("tag_list", F.col("rt"))
     in_text = F.array_contains("words", F.col("rt"))
     typed = (has_tag | in_text) & (F.col("rt") != "")
+    named = F.col("t").contains(F.col("whole")) | F.col("t").contains(F.col("leaf"))
     holds = {
         "error_code": typed & F.col("code").isNotNull(),
-        "address": F.col("t").contains(F.col("whole")) | F.col("t").contains(F.col("leaf")),
+        "address": named,
         "attribute": typed & F.arrays_overlap("changed_attrs", "words"),
         "category": typed & F.arrays_overlap("attr_categories", "tag_list"),
         "type_action": has_tag & F.col("t").contains(F.col("action")),
@@ -152,27 +145,100 @@ def fix_signals(nodes: DataFrame, fixes: DataFrame, key: str, now_us: int) -> Da
     base = F.coalesce(*[F.when(yes[s], F.lit(p)) for s, p in SIGNALS.items()])
     module = F.coalesce(F.col("t").contains(F.col("mod")), F.lit(False))
     lesser = [F.when(yes[s] & (F.col("base") > SIGNALS[s]), F.lit(s)) for s in ("attribute", "category", "type_action")]
-    scored = pairs.withColumn("signal", signal).withColumn("base", base).where("signal is not null").withColumn("__module", module)
+    met = pairs.where(F.coalesce(typed, F.lit(False)) | (F.col("address").contains(".") & named))
+    scored = met.withColumn("signal", signal).withColumn("base", base).where("signal is not null").withColumn("__module", module)
     supporting = F.array_compact(F.array(*lesser, F.when(F.col("__module"), "module_path"), F.when(F.col("recent"), "recency")))
     total = F.col("base") + F.when(F.col("__module"), MODULE_BONUS).otherwise(0) + F.when(F.col("recent"), RECENT_BONUS).otherwise(0)
-    return scored.select(key, "ord", "address", "action", "seq", "base", "signal", supporting.alias("supporting"), total.alias("total"))
+    return scored.withColumns({"supporting": supporting, "total": total}).drop("__module")
+
+
+def _best(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The first fixes (seq, total, at) of each group: best, then longer creation times, then earlier ones, then storage order."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), F.desc(F.length("at")), "at", "seq"))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def _likely(n: DataFrame, f: DataFrame, key: str, most: int) -> DataFrame:
+    """key, seq, total, place: the ``most`` best fixes of each plan, whose nodes are ``n`` (``_parts``); ``f`` is ``_prepared``.
+
+    No pair of a node and a fix is made. A pair's score is the highest that one thing in common gives: a type,
+    a type with an action, an attribute or a category, or an address. For each such thing of any node the ``most`` best of its
+    fixes are kept, alone and with each module they name. A fix that is not kept there has that many better ones in
+    every plan that has this thing, so the best of a plan are among those kept.
+    """
+    none = F.lit("")
+    odd = (F.col("rt") != "") & (anchor(F.col("whole")).isNull() | anchor(F.col("leaf")).isNull())
+    modules, oddities = n.agg(F.bool_or(F.col("mod").isNotNull()), F.bool_or(odd)).first()
+    slim = f.select("seq", "at", F.when(F.col("recent"), RECENT_BONUS).otherwise(0).alias("bonus"))
+    places = needles_in(n.where("mod is not null").select(F.col("mod").alias("needle")), f.select("seq", "t")).withColumnRenamed("needle", "mod") if modules else None
+
+    def kept(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+        """``most`` rows of each key without module (mod ''), and of each key and module that ``keys`` has."""
+        every = rows.withColumn("mod", none)
+        if places is not None:
+            inside = rows.join(places, "seq").join(keys.where("mod <> ''").select(*by, "mod").distinct(), [*by, "mod"])
+            every = every.unionByName(inside.withColumn("total", F.col("total") + MODULE_BONUS))
+        return settle(_best(every, [*by, "mod"], most).select(*by, "mod", "seq", "total", "at"), "kept")
+
+    def ways(rows: DataFrame) -> DataFrame:
+        """Rows for the key alone and for the key with its module."""
+        return rows.withColumn("mod", F.explode(F.array_distinct(F.array(none, F.col("mod"))))) if places is not None else rows.withColumn("mod", none)
+
+    # By type, and what goes with a type: for each different kind of node.
+    kind = ["rt", "action", "changed_attrs", "attr_categories", "in_module"]
+    nodes = n.withColumn("in_module", F.coalesce("mod", none))
+    kinds = settle(nodes.where("rt <> ''").select(*kind).distinct(), "kinds")
+    thing = lambda what, value: F.struct(F.lit(what).alias("what"), value.alias("value"))
+    things = F.concat(F.array(thing("type", none), thing("type_action", F.col("action"))), F.transform("changed_attrs", lambda a: thing("attribute", a)), F.transform("attr_categories", lambda c: thing("category", c)))
+    asked = kinds.select(*kind, F.col("in_module").alias("mod"), F.explode(things).alias("k")).select(*kind, "mod", "k.what", "k.value")
+    tokens = f.select("seq", F.explode(F.array_union("words", "tag_list")).alias("rt"))
+    typed = tokens.join(asked.groupBy("rt").agg(F.collect_set(F.struct("what", "value")).alias("things")), "rt").join(f, "seq")
+    tagged = F.array_contains("tag_list", F.col("rt"))
+
+    def holds(k: Column) -> Column:
+        what, value = k["what"], k["value"]
+        return F.when(what == "type", True).when(what == "type_action", tagged & F.col("t").contains(value)).when(what == "attribute", F.array_contains("words", value)).otherwise(F.array_contains("tag_list", value))
+
+    score = F.when((F.col("k.what") == "type") & F.col("code").isNotNull(), SIGNALS["error_code"]).when((F.col("k.what") == "type") & tagged, SIGNALS["resource_type_tag"]).when(F.col("k.what") == "type", SIGNALS["resource_type_text"])
+    score = F.coalesce(score, *[F.when(F.col("k.what") == s, SIGNALS[s]) for s in ("type_action", "attribute", "category")])
+    entries = typed.withColumn("k", F.explode(F.filter("things", holds))).select("rt", "k.what", "k.value", "seq", score.alias("base")).join(slim, "seq")
+    entries = entries.select("rt", "what", "value", "seq", (F.col("base") + F.col("bonus")).alias("total"), "at")
+    by_thing = kept(settle(entries, "entries") if modules else entries, asked, ["rt", "what", "value"])
+    of_kind = ways(asked).join(by_thing, ["rt", "what", "value", "mod"]).groupBy(*kind, "seq").agg(F.max("total").alias("total"), F.any_value("at").alias("at"))
+    of_kind = settle(_best(of_kind, kind, most).select(*kind, "seq", "total", "at"), "of-kind")
+    found = nodes.where("rt <> ''").select(key, *kind).distinct().join(of_kind, kind).select(key, "seq", "total", "at")
+
+    # By address.
+    ends = lambda rows, *more: rows.select(*more, F.explode(F.array_distinct(F.array("whole", "leaf"))).alias("needle"), F.col("in_module").alias("mod"))
+    dotted = ends(nodes.where(F.col("address").contains(".")), key)
+    hits = needles_in(dotted.select("needle"), f.select("seq", "t")).join(slim, "seq").select("needle", "seq", (F.lit(SIGNALS["address"]) + F.col("bonus")).alias("total"), "at")
+    by_end = kept(settle(hits, "hits") if modules else hits, dotted, ["needle"])
+    found = found.unionByName(ways(dotted).distinct().join(by_end, ["needle", "mod"]).select(key, "seq", "total", "at"))
+    if oddities:  # addresses without a dot between others: looked for in the fixes of their type
+        bare = ends(nodes.where(odd), key, "rt")
+        within = bare.select("rt", "needle").distinct().join(tokens, "rt").join(f.select("seq", "t"), "seq").where(F.col("t").contains(F.col("needle")))
+        hits = settle(within.join(slim, "seq").select("rt", "needle", "seq", (F.lit(SIGNALS["address"]) + F.col("bonus")).alias("total"), "at"), "hits")
+        found = found.unionByName(ways(bare).distinct().join(kept(hits, bare, ["rt", "needle"]), ["rt", "needle", "mod"]).select(key, "seq", "total", "at"))
+    return _best(found.groupBy(key, "seq").agg(F.max("total").alias("total"), F.any_value("at").alias("at")), [key], most).select(key, "seq", "total", "place")
 
 
 def relevant_fixes(nodes: DataFrame, fixes: DataFrame, key: str, now_us: int, most: int = 10) -> DataFrame:
     """The fixes that matter most to each plan: key, place, seq, score, signal, supporting, confidence, matched, resource.
 
-    A fix counts by its best node (the first of equals). Order: score, then longer creation times, then
-    earlier ones, then storage order. ``matched``: how many resources it matches; ``resource``: the first by address.
+    ``fixes``: seq, issue, resolution, error_excerpt, tags, created_at; one row a fix. A fix counts by its best
+    node (the first of equals). Order: score, then longer creation times, then earlier ones, then storage
+    order. ``matched``: how many resources it matches; ``resource``: the first by address. An address without a dot
+    meets no text. Read ``nodes`` from a table, as it is scanned several times.
     """
-    signals = fix_signals(nodes, fixes, key, now_us)
+    f = settle(_prepared(fixes, now_us).select("seq", "t", "tag_list", "words", "code", "recent", F.coalesce("created_at", F.lit("")).alias("at")), "prepared")
+    n = _parts(nodes, key)
+    top = settle(_likely(n, f, key, most), "likely")
+    few = settle(f.join(top.select("seq").distinct(), "seq", "left_semi"), "few")
+    signals = _with_signals(top.select(key, "seq", "place").join(n, key).join(few, "seq"))
     best = F.max_by(F.struct("signal", "supporting", "total"), F.struct("total", -F.col("ord")))
-    each = signals.groupBy(key, "seq").agg(best.alias("b"), F.count(F.lit(1)).alias("matched"), F.min("address").alias("resource"))
-    when = F.coalesce("created_at", F.lit(""))
-    dated = each.join(fixes.select("seq", when.alias("__at")), "seq")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("b.total"), F.desc(F.length("__at")), "__at", "seq"))
-    top = dated.withColumn("place", place).where(F.col("place") <= most)
+    each = signals.groupBy(key, "seq").agg(F.any_value("place").alias("place"), best.alias("b"), F.count(F.lit(1)).alias("matched"), F.min("address").alias("resource"))
     confidence = F.when(F.col("b.total") >= 120, "high").when(F.col("b.total") >= 60, "medium").otherwise("low")
-    return top.select(key, "place", "seq", F.col("b.total").alias("score"), "b.signal", "b.supporting", confidence.alias("confidence"), "matched", "resource")
+    return each.select(key, "place", "seq", F.col("b.total").alias("score"), "b.signal", "b.supporting", confidence.alias("confidence"), "matched", "resource")
 
 
 def qualifying(relevant: DataFrame, key: str) -> DataFrame:
