@@ -55,3 +55,10 @@ def test_the_best_of_a_plan_come_from_different_nodes(spark):
     both = nodes.withColumn("plan", F.lit("p")).withColumn("ord", F.substring("address", 15, 9).cast("int")).where("ord in (900, 901)")
     got = R.relevant_fixes(both, plain, "plan", NOW, 3).orderBy("place").collect()
     assert [(r.seq, r.score, r.signal, r.matched, r.resource) for r in got] == [(900, 120, "address", 2, "aws_iam_role.r900"), (901, 120, "address", 2, "aws_iam_role.r900"), (0, 100, "attribute", 2, "aws_iam_role.r900")]
+
+
+def test_type_counts_make_no_pairs(spark):
+    nodes, fixes = tables(spark)
+    got, most = most_rows(spark, lambda: R.type_counts(nodes, fixes, "plan").collect())
+    assert {r.n for r in got} == {N} and len(got) == N
+    assert most < N * N / 10

@@ -15,7 +15,7 @@ from tracewright.functions.fields import base_address, comma_tags, module_path
 from tracewright.functions.text import instant_us
 from tracewright.operators.graph import propagate
 from tracewright.operators.plan import attribute_category, control_point
-from tracewright.operators.search import anchor, anchors, cluster_key, needles_in
+from tracewright.operators.search import anchor, anchors, cluster_key, needles_in, starts_in
 from tracewright.sources.scratch import settle
 
 #: Points of an action; factors; limits.
@@ -375,21 +375,10 @@ def category_checks(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def types_in_tags(types: DataFrame, fixes: DataFrame) -> DataFrame:
-    """rt, seq: types (column rt) that are a substring of a fix's tags.
-
-    Different tags are cut into all pieces of the lengths that types have, and meet types as equals. The
-    lengths come to the driver: a number for each length of a type's name.
-    """
-    known = types.where("rt <> ''").select("rt").distinct()
-    lengths = [r[0] for r in known.select(F.length("rt")).distinct().collect()]
-    tags = fixes.select("seq", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("tags", F.lit(""))), ","))).alias("tag"))
-
-    def cut(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("tag") - F.lit(n - 1))), lambda i: F.substring(F.col("tag"), i, F.lit(n)))
-
-    cuts = [cut(n) for n in lengths]
-    pieces = tags.select("tag").distinct().select("tag", F.explode(F.array_distinct(F.concat(*cuts) if cuts else F.array().cast("array<string>"))).alias("rt"))
-    return pieces.join(known, "rt").join(tags, "tag").select("rt", "seq").distinct()
+    """rt, seq: types (column rt) that are a substring of a fix's tags; a type has no comma. Different tags are looked through once."""
+    known = types.where("rt <> ''").select(F.col("rt").alias("needle")).distinct()
+    tags = fixes.select("seq", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("tags", F.lit(""))), ","))).alias("word"))
+    return starts_in(known, tags.select("word").distinct()).join(tags, "word").select(F.col("needle").alias("rt"), "seq").distinct()
 
 
 def type_history(nodes: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
@@ -398,6 +387,13 @@ def type_history(nodes: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
     return n.join(types_in_tags(n, fixes), "rt").select(key, "address", "cloud_provider", "seq")
 
 
+def type_counts(nodes: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
+    """key, address, n: how many rows ``type_history`` has for each changing resource; fixes are counted once a type."""
+    n = nodes.select(key, "address", F.lower("resource_type").alias("rt"))
+    counts = types_in_tags(n, fixes).groupBy("rt").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(counts, "rt").groupBy(key, "address").agg(F.sum("n").alias("n"))
+
+
 def prior_fixes(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 10, tags_only: bool = False) -> DataFrame:
     """key, place, seq, score, reason, matched: fixes by type alone; a type within the tags scores 100, as a word of the text 60."""
     n = nodes.select(key, "address", F.lower(F.trim("resource_type")).alias("rt"))

@@ -153,8 +153,7 @@ def qualifying_history(spark: SparkSession, d: str) -> DataFrame:
 
 def type_history(spark: SparkSession, d: str) -> DataFrame:
     """How many fixes have the type of a session's resource within their tags."""
-    nodes = _session_nodes(spark, d).withColumn("cloud_provider", F.lit("-"))
-    return R.type_history(nodes, _fixes(spark, d), "plan_id").groupBy("plan_id", "address").agg(F.count(F.lit(1)).alias("n"))
+    return R.type_counts(_session_nodes(spark, d), _fixes(spark, d), "plan_id")
 
 
 def prior_fixes(spark: SparkSession, d: str) -> DataFrame:
