@@ -57,6 +57,13 @@ def test_the_best_of_a_plan_come_from_different_nodes(spark):
     assert [(r.seq, r.score, r.signal, r.matched, r.resource) for r in got] == [(900, 120, "address", 2, "aws_iam_role.r900"), (901, 120, "address", 2, "aws_iam_role.r900"), (0, 100, "attribute", 2, "aws_iam_role.r900")]
 
 
+def test_prior_fixes_make_no_pairs(spark):
+    nodes, fixes = tables(spark)
+    got, most = most_rows(spark, lambda: R.prior_fixes(nodes, fixes, "plan").where("plan = 'p700'").orderBy("place").collect())
+    assert [(r.seq, r.score, r.matched) for r in got] == [(i, 100, 1) for i in range(10)]
+    assert most < N * N / 10
+
+
 def test_type_counts_make_no_pairs(spark):
     nodes, fixes = tables(spark)
     got, most = most_rows(spark, lambda: R.type_counts(nodes, fixes, "plan").collect())

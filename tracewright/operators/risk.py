@@ -395,18 +395,30 @@ def type_counts(nodes: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
 
 
 def prior_fixes(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 10, tags_only: bool = False) -> DataFrame:
-    """key, place, seq, score, reason, matched: fixes by type alone; a type within the tags scores 100, as a word of the text 60."""
+    """key, place, seq, score, reason, matched: fixes by type alone; a type within the tags scores 100, as a word of the text 60.
+
+    Only the ``most`` best fixes of each type reach the plans: a fix that is not among them has that many better ones
+    in every plan with this type.
+    """
     n = nodes.select(key, "address", F.lower(F.trim("resource_type")).alias("rt"))
     hits = types_in_tags(n, fixes).withColumn("score", F.lit(100))
     if not tags_only:
         text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("issue", "resolution", "error_excerpt")]))
         words = fixes.select("seq", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))).alias("rt"))
         hits = hits.unionByName(words.join(n.select("rt").distinct(), "rt", "left_semi").select("rt", "seq", F.lit(60).alias("score")))
-    hits = hits.groupBy("rt", "seq").agg(F.max("score").alias("score"))
-    each = n.join(hits, "rt").groupBy(key, "seq").agg(F.max("score").alias("score"), F.countDistinct("address").alias("matched"))
-    dated = each.join(fixes.select("seq", "id", F.coalesce("created_at", F.lit("")).alias("__at")), "seq")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc("__at"), "id"))
-    return dated.withColumn("place", place).where(F.col("place") <= most).select(key, "place", "seq", "score", F.when(F.col("score") == 100, "tag_match").otherwise("text_match").alias("reason"), "matched")
+    hits = settle(hits.groupBy("rt", "seq").agg(F.max("score").alias("score")), "hits")
+
+    def best(rows: DataFrame, by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.desc("at"), "id"))
+        return rows.withColumn("place", place).where(F.col("place") <= most)
+
+    dated = hits.join(fixes.select("seq", "id", F.coalesce("created_at", F.lit("")).alias("at")), "seq")
+    of_type = settle(best(dated, "rt").drop("place"), "of-type")
+    each = n.select(key, "rt").distinct().join(of_type, "rt").groupBy(key, "seq").agg(F.max("score").alias("score"), F.any_value("id").alias("id"), F.any_value("at").alias("at"))
+    top = best(each, key).select(key, "place", "seq", "score")
+    few = settle(hits.join(of_type.select("seq").distinct(), "seq", "left_semi").select("rt", "seq"), "few")
+    matched = top.join(n, key).join(few, ["rt", "seq"]).groupBy(key, "place", "seq", "score").agg(F.countDistinct("address").alias("matched"))
+    return matched.select(key, "place", "seq", "score", F.when(F.col("score") == 100, "tag_match").otherwise("text_match").alias("reason"), "matched")
 
 
 def history_prior(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 3) -> DataFrame:
