@@ -69,3 +69,21 @@ def test_type_counts_make_no_pairs(spark):
     got, most = most_rows(spark, lambda: R.type_counts(nodes, fixes, "plan").collect())
     assert {r.n for r in got} == {N} and len(got) == N
     assert most < N * N / 10
+
+
+def test_history_prior_makes_no_pairs(spark):
+    nodes, fixes = tables(spark)
+    got, most = most_rows(spark, lambda: R.history_prior(nodes, fixes, "plan").where("plan = 'p700'").orderBy("place").collect())
+    assert [(r.place, r.seq) for r in got] == [(1, 0), (2, 1), (3, 2)]
+    assert most < N * N / 10
+
+
+def test_history_prior_reads_on_past_beaten_fixes(spark):
+    """Fixes of one type that a newer one of another beats in the same cluster do not count, however many come first."""
+    nodes, fixes = tables(spark)
+    two = nodes.where("address = 'aws_iam_role.r0'").withColumn("address", F.lit("aws_iam_role.none"))
+    two = two.unionByName(two.withColumn("resource_type", F.lit("aws_iam_user")).withColumn("address", F.lit("aws_iam_user.none")))
+    few = fixes.where("seq < 40")
+    newer = few.where("seq < 38").withColumn("seq", F.col("seq") + 100).withColumn("tags", F.lit("aws_iam_user,iam")).withColumn("created_at", F.lit("2025-01-01"))
+    got = R.history_prior(two, few.unionByName(newer), "plan").orderBy("place").collect()
+    assert [r.seq for r in got] == [38, 39, 100]

@@ -421,23 +421,61 @@ def prior_fixes(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 10, ta
     return matched.select(key, "place", "seq", "score", F.when(F.col("score") == 100, "tag_match").otherwise("text_match").alias("reason"), "matched")
 
 
-def history_prior(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 3) -> DataFrame:
+def history_prior(nodes: DataFrame, fixes: DataFrame, key: str, most: int = 3, first: int = 8) -> DataFrame:
     """key, place, seq: fixes that name a changed address, or (with a control point or destruction) have the type and a concern's tag.
 
     Of fixes with one cluster key the one with an excerpt, then the newest, counts; the first of ``most`` by storage order.
+
+    A type's fixes are reduced to the one that counts in each cluster, with the types that have a better one there. Plans
+    read the ``first`` of them by storage order, without those that another of their types beats. Where fewer than
+    ``most`` are left before the end of a list that goes on, the plan is settled with longer lists.
     """
     text = F.lower(F.concat_ws(" ", F.nullif("issue", F.lit("")), F.nullif("error_excerpt", F.lit(""))))
-    f = fixes.withColumn("t", text)
+    f = fixes.select("seq", "issue", "error_excerpt", "created_at", "tags", text.alias("t"))
     n = nodes.select(key, F.lower("address").alias("whole"), F.lower("resource_type").alias("rt"), (F.col("is_control_point") | F.col("action").isin("delete", "replace")).alias("hard"))
-    named = n.select(key, "whole", anchor(F.col("whole")).alias("anchor")).join(f.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor")), "anchor").where(F.col("t").contains(F.col("whole"))).select(key, "seq")
-    open_ = n.groupBy(key).agg(F.bool_or("hard").alias("hard")).where("hard")
-    concerned = f.where(F.arrays_overlap(comma_tags(F.col("tags")), F.array(*map(F.lit, CONCERNS))))
-    typed = n.join(open_, key, "left_semi").join(types_in_tags(n, concerned), "rt").select(key, "seq")
-    met = named.unionByName(typed).distinct().join(f.select("seq", "issue", "error_excerpt", "created_at"), "seq")
     better = F.struct(F.when(F.coalesce("error_excerpt", F.lit("")) != "", 1).otherwise(0).alias("a"), F.coalesce("created_at", F.lit("")).alias("b"), (-F.col("seq")).alias("c"))
-    kept = met.groupBy(key, cluster_key(F.col("issue")).alias("cluster")).agg(F.max_by("seq", better).alias("seq"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
-    return kept.withColumn("place", place).where(F.col("place") <= most).select(key, "place", "seq")
+    rated = f.select("seq", cluster_key(F.col("issue")).alias("cluster"), better.alias("better"))
+
+    # The fixes that count of each type and cluster; ``beaten_by`` are the types with a better one.
+    concerned = f.where(F.arrays_overlap(comma_tags(F.col("tags")), F.array(*map(F.lit, CONCERNS))))
+    counting = types_in_tags(n, concerned).join(rated, "seq").groupBy("rt", "cluster").agg(F.max("better").alias("better"))
+    clusters = settle(counting.groupBy("cluster").agg(F.collect_list(F.struct("rt", "better")).alias("all")), "clusters")
+    beaten_by = F.transform(F.filter("all", lambda o: o["better"] > F.col("e.better")), lambda o: o["rt"])
+    listed = clusters.select("cluster", "all", F.explode("all").alias("e")).select("e.rt", "cluster", (-F.col("e.better.c")).alias("seq"), "e.better", beaten_by.alias("beaten_by"))
+    listed = settle(listed.withColumn("turn", F.row_number().over(Window.partitionBy("rt").orderBy("seq"))), "listed")
+
+    hard = n.groupBy(key).agg(F.bool_or("hard").alias("hard")).where("hard")
+    types = settle(n.where("rt <> ''").join(hard, key, "left_semi").groupBy(key).agg(F.collect_set("rt").alias("types")), "types")
+
+    # Fixes that name an address, where no type of the plan has a better one.
+    spots = f.select("seq", "t", F.explode(anchors(F.col("t"))).alias("anchor"))
+    hits = n.select("whole").distinct().withColumn("anchor", anchor(F.col("whole"))).join(spots, "anchor").where(F.col("t").contains(F.col("whole"))).select("whole", "seq")
+    named = n.select(key, "whole").distinct().join(hits, "whole").select(key, "seq").distinct().join(rated, "seq").groupBy(key, "cluster").agg(F.max("better").alias("better"))
+    named = named.join(types, key, "left").join(clusters, "cluster", "left")
+    lost = F.exists("all", lambda o: F.array_contains("types", o["rt"]) & (o["better"] > F.col("better")))
+    named = settle(named.where(~F.coalesce(lost, F.lit(False))).select(key, "cluster", "better"), "named")
+
+    done, todo, upto = None, types, first
+    while True:
+        lists = settle(listed.where(F.col("turn") <= upto), "lists")
+        ends = listed.where(F.col("turn") == upto + 1).select("rt", F.col("seq").alias("end"))
+        rows = todo.select(key, "types", F.explode("types").alias("rt"))
+        limit = rows.join(settle(ends, "ends"), "rt").groupBy(key).agg(F.min("end").alias("end"))
+        typed = rows.join(lists, "rt").where(~F.arrays_overlap("types", "beaten_by")).select(key, "cluster", "better")
+        mine = named if done is None else named.join(todo, key, "left_semi")
+        kept = typed.unionByName(mine).groupBy(key, "cluster").agg(F.max("better").alias("better")).select(key, (-F.col("better.c")).alias("seq"))
+        place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+        shown = kept.withColumn("place", place).where(F.col("place") <= most).join(limit, key, "left")
+        # A list's unread rest begins at ``end``: what lies before it stands.
+        sure = F.col("end").isNull() | (F.col("seq") < F.col("end"))
+        shown = settle(shown.select(key, "place", "seq", "end", sure.alias("sure")), "shown")
+        whole = limit.join(shown.where("sure").groupBy(key).agg(F.count(F.lit(1)).alias("sure")), key, "left").where(F.coalesce("sure", F.lit(0)) < most)
+        todo = settle(todo.join(whole, key, "left_semi"), "todo")
+        part = shown.join(todo, key, "left_anti").select(key, "place", "seq")
+        done = part if done is None else done.unionByName(part)
+        if todo.isEmpty():
+            return done
+        upto *= 8
 
 
 # --- reports ---------------------------------------------------------------------------------
