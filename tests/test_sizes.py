@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import plan as P
 from tracewright.operators import risk as R
+from tracewright.operators import similar as S
 
 NOW = 1_767_225_600_000_000
 N = 1200  # of each table; all have one type, so that every pair has something in common
@@ -87,3 +88,22 @@ def test_history_prior_reads_on_past_beaten_fixes(spark):
     newer = few.where("seq < 38").withColumn("seq", F.col("seq") + 100).withColumn("tags", F.lit("aws_iam_user,iam")).withColumn("created_at", F.lit("2025-01-01"))
     got = R.history_prior(two, few.unionByName(newer), "plan").orderBy("place").collect()
     assert [r.seq for r in got] == [38, 39, 100]
+
+
+def test_similar_errors_make_no_pairs(spark):
+    _, fixes = tables(spark)
+    errors = fixes.select(F.col("seq").alias("query"), F.concat(F.lit("Error: Denied for aws_iam_role.r"), F.col("seq")).alias("text"), F.col("tags"), F.lit(None).cast("string").alias("address"))
+    got, most = most_rows(spark, lambda: S.similar_fixes(errors, fixes).where("query = 700").orderBy("place").collect())
+    # Its own fix has the address too; those with the same words first in the alphabet are one kind of trouble.
+    assert got[0].seq == 700 and [r.place for r in got] == [1, 2, 3, 4, 5] and [r.seq for r in got[1:]] == sorted(r.seq for r in got[1:])
+    assert most < N * N / 10
+
+
+def test_similar_errors_do_not_depend_on_blocks(spark, monkeypatch):
+    _, fixes = tables(spark)
+    errors = fixes.where("seq % 100 = 0").select(F.col("seq").alias("query"), F.col("issue").alias("text"), F.col("tags"), F.lit(None).cast("string").alias("address"))
+    want = sorted(map(tuple, S.similar_fixes(errors, fixes, 20).collect()))
+    monkeypatch.setattr(S, "FIX_BLOCK", 50)
+    monkeypatch.setattr(S, "ERROR_BLOCK", 5)
+    assert sorted(map(tuple, S.similar_fixes(errors, fixes, 20).collect())) == want and len(want) == 12 * 20
+    assert S.similar_fixes(errors.limit(0), fixes).collect() == [] and S.similar_fixes(errors, fixes.limit(0)).collect() == []
