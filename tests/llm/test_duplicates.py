@@ -8,7 +8,7 @@ from tracewright.llm import history as history_module
 from tracewright.llm import metric_join
 from tracewright.llm.history import BANDS, ROWS, History
 from tracewright.llm.metric_join import components, similar_pairs
-from tracewright.llm.shingles import shingle_set
+from tracewright.llm.shingles import shingle_set, shingle_sets
 
 SETS = "x long, grams array<long>"
 
@@ -63,6 +63,19 @@ def test_pairs_of_odd_sets(spark):
     assert similar_pairs(spark.createDataFrame([], SETS), 0.7).collect() == []
 
 
+def test_rare_shingles_rank_first(spark, monkeypatch):
+    # Eight unlike sets with 40 common shingles, the least of all, and 60 of their own: nothing is met anywhere.
+    rows = {}
+    settle = metric_join.settle
+    monkeypatch.setattr(metric_join, "settle", lambda df, name, *a: rows.__setitem__(name, settle(df, name, *a)) or rows[name])
+    sets = {i: set(range(40)) | {1000 * i + k for k in range(60)} for i in range(1, 9)}
+    assert pairs_of(spark, sets) == {}
+    assert rows["regions"].count() == 0
+    # Two of them alike meet, a set that stands twice counts once.
+    twice = spark.createDataFrame([(x, sorted(s)) for x, s in [*sets.items(), (9, sets[1] - {0}), (9, sets[1] - {0})]], SETS)
+    assert [(r.a, r.b) for r in similar_pairs(twice, 0.7).collect()] == [(1, 9)]
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(20)], "x long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(12, 15), (15, 11), (9, 9)], "a long, b long")
@@ -79,6 +92,13 @@ def test_shingles():
     assert len(shingle_set("w " * 100_000 + "end", 3)) == 2
 
 
+def test_shingles_of_many_texts():
+    texts = [None, "", "a", "B a", "... é", "K x İ y", "w " * 100_000 + "end", "x" * 300_000 + " y z", "a b c d a b c"]
+    got = shingle_sets(texts, 3)
+    assert [len(g) for g in got] == [0, 0, 1, 1, 0, 2, 2, 1, 4]
+    assert all(np.array_equal(g, shingle_set(t or "", 3)) and (g[1:] > g[:-1]).all() for t, g in zip(texts, got, strict=True))
+
+
 def greedy(old, keys, records, t=0.7):
     accepted, taken, out = [s for s in old if s], set(keys), {}
     for rec, key, s in records:

@@ -23,15 +23,15 @@ Every candidate that is met is checked against the full sets. Nothing is sampled
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shingles import similarity
+from tracewright.llm.shingles import mix, similarity
 from tracewright.sources.scratch import settle
 
 #: Members above which a region is split; pivots of a split at least (the square root of the members, if that is more); levels.
@@ -40,41 +40,106 @@ PIVOTS = 4
 LEVELS = 2
 #: How far from its pivot a set is at home. Unrelated texts are farther than RADIUS + t from each other.
 RADIUS = 0.5
-#: Shingles whose frequency is told exactly to all tasks, at most; the rarer ones count as equally rare.
-FREQUENT = 100_000
+#: Counters of shingles told to all tasks: 2**SLOTS at most, of a byte each, the counts below EXACT as they are.
+SLOTS = 25
+EXACT = 64
+#: Bits of a set's parities.
+PARITY = 256
 _SLACK = 1e-9
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """Rows (shingle, number of sets with it) of the frequent shingles, sorted by shingle.
+def _flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all sets one after another, and the sets' sizes."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return np.concatenate([np.empty(0, np.int64), *sets]), sizes
 
-    With T members of sets in all, fewer than FREQUENT shingles lie in more than T / FREQUENT sets.
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each shingle in a table of 2**bits counters."""
+    return (mix(grams.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """For each slot of shingles how many sets have one of them: exact below EXACT, then in steps of an eighth of a doubling.
+
+    A shingle's slot counts it and those that share the slot, so a count of 1 says that a single set has it.
     """
-    total = sets.agg(F.sum(F.size("grams"))).first()[0] or 0
-    least = max(8, math.ceil(total / FREQUENT))
-    counts = sets.select(F.explode("grams").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    rows = counts.toPandas()
-    out = rows[["s", "n"]].to_numpy(np.int64).reshape(-1, 2)
-    return out[np.argsort(out[:, 0])]
+    chunk = 1 << min(bits, 18)
+
+    def count(batches):  # noqa: ANN001, ANN202
+        table = np.zeros(1 << bits, np.uint16)
+        for rows in batches:
+            slots, n = np.unique(_slots(_flat(rows["grams"])[0], bits), return_counts=True)
+            table[slots] = np.minimum(table[slots] + n, 65535)
+        for i in range(0, len(table), chunk):
+            if (part := table[i : i + chunk]).any():
+                yield pd.DataFrame({"chunk": [i // chunk], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(chunk, np.int64)
+        for part in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(part), np.uint16)
+        steps = EXACT + np.floor(8 * np.log2(np.maximum(total, EXACT) / EXACT)).astype(np.int64)
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "counts": [zlib.compress(np.where(total < EXACT, total, np.minimum(steps, 255)).astype(np.uint8).tobytes(), 1)]})
+
+    schema = "chunk int, counts binary"
+    out = np.zeros(1 << bits, np.uint8)
+    for row in sets.select("grams").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).collect():  # 2**bits bytes at most
+        out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out
 
 
 def _seeds(sets: DataFrame, t: float) -> DataFrame:
-    """region, x, n, rank: for each set the singleton regions it belongs to, with its size and the singleton's rank in it."""
-    table = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def first(grams: pd.Series) -> pd.Series:
-        known = table.value
-        out = []
-        for g in grams:
-            at = np.searchsorted(known[:, 0], g)
-            at[at == len(known)] = 0
-            often = np.where(known[at, 0] == g, known[at, 1], 0) if len(known) else np.zeros(len(g), np.int64)
-            order = np.lexsort((g, often))
-            out.append(g[order[: len(g) - math.ceil((1 - t) * len(g) - _SLACK) + 1]])
-        return pd.Series(out, dtype=object)
+    """x, n, parity, regions, ranks: for each different set its size, the singletons whose regions it belongs to and their ranks in it.
 
-    return sets.select("x", F.size("grams").alias("n"), F.posexplode(first("grams")).alias("rank", "region"))
+    Singletons of a single set are left out, as nothing can be met there. ``parity`` has PARITY bits, each telling whether
+    the set has an odd number of the shingles of that bit: sets differ in at least as many shingles as bits.
+    """
+    bits = min(max((256 * sets.count()).bit_length(), 16), SLOTS)
+    table = sets.sparkSession.sparkContext.broadcast(_counts(sets, bits))
+
+    def of(batches):  # noqa: ANN001, ANN202
+        for rows in batches:
+            grams, n = _flat(rows["grams"])
+            if not len(grams):
+                continue
+            own = np.repeat(np.arange(len(n)), n)
+            odd = np.zeros(len(n) * PARITY, np.uint8)
+            np.bitwise_xor.at(odd, own * PARITY + (mix(grams.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % PARITY, 1)
+            parity = np.packbits(odd.reshape(len(n), PARITY), axis=1).view(np.int64)
+            often = table.value[_slots(grams, bits)]
+            order = np.lexsort((grams, often, own))
+            rank = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
+            first = n - np.ceil((1 - t) * n - _SLACK).astype(np.int64) + 1
+            kept = (rank < first[own]) & (often[order] > 1)
+            cuts = np.cumsum(np.bincount(own[kept], minlength=len(n)))[:-1]
+            yield pd.DataFrame({"x": rows["x"], "n": n, "parity": list(parity), "regions": np.split(grams[order][kept], cuts), "ranks": np.split(rank[kept], cuts)})
+
+    seeds = sets.select("x", "grams").mapInPandas(of, "x long, n int, parity array<long>, regions array<long>, ranks array<int>")
+    return settle(seeds.where(F.size("regions") > 0).dropDuplicates(["x"]), "seeds")
+
+
+def _only(sets: DataFrame, xs: DataFrame) -> DataFrame:
+    """Rows of ``sets`` without most of those whose x is not in ``xs``: of the latter a bitmap is told to all tasks."""
+    bits = min(max((16 * xs.count()).bit_length(), 16), SLOTS)
+
+    def mark(batches):  # noqa: ANN001, ANN202
+        table = np.zeros(1 << bits, bool)
+        for rows in batches:
+            table[_slots(rows["x"].to_numpy(np.int64), bits)] = True
+        yield pd.DataFrame({"marks": [zlib.compress(np.packbits(table).tobytes(), 1)]})
+
+    marks = np.zeros(1 << bits >> 3, np.uint8)
+    for row in xs.select("x").mapInPandas(mark, "marks binary").toLocalIterator():
+        marks |= np.frombuffer(zlib.decompress(row["marks"]), np.uint8)
+    table = sets.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf(T.BooleanType())
+    def marked(x: pd.Series) -> pd.Series:
+        at = _slots(x.to_numpy(np.int64), bits)
+        return pd.Series((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return sets.where(marked("x"))
 
 
 def _apart(pivots: DataFrame) -> DataFrame:
@@ -118,8 +183,7 @@ def _split(regions: DataFrame, sets: DataFrame, t: float, level: int) -> DataFra
 
 def _sized(regions: DataFrame) -> DataFrame:
     """Regions with their number of members as ``m``; those with one member cannot hold a pair."""
-    counts = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return regions.join(counts, "region")
+    return regions.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("region"))).where("m > 1")
 
 
 def _blocks(regions: DataFrame) -> DataFrame:
@@ -147,29 +211,40 @@ def _meet(regions: DataFrame, t: float, near: Column, levels: int = 0) -> DataFr
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity: all pairs a < b of different sets whose Jaccard similarity is ``threshold`` or more.
 
-    ``sets``: x (a number that tells the set), grams (a sorted array without repeats). Empty sets are in
-    no pair. Read ``sets`` from a table, as it is scanned several times.
+    ``sets``: x (a number that tells the set), grams (a sorted array without repeats); a set may stand there several
+    times. Empty sets are in no pair. ``sets`` is scanned several times: read it, or the texts that it is made of, from a table.
     """
     t = 1 - threshold
-    sets = sets.where(F.size("grams") > 0)
-    # Members that can still be common to both, if this shared shingle is the first that is.
-    least = F.ceil(threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - _SLACK)
-    by_rank = F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) >= least
+    seeds = _seeds(sets, t)
+    # Members that are common to both at least, and those that only one has at most.
+    common = F.ceil(threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - _SLACK)
+    apart = F.col("a.n") + F.col("b.n") - 2 * common
+    # Where the shared shingle is the first that is: what ranks before it is not common, and enough must follow.
+    by_rank = (F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) >= common) & (F.col("a.rank") + F.col("b.rank") <= apart)
     window = F.abs(F.col("a.at") - F.col("b.at")) <= t + _SLACK
 
-    seeds = settle(_sized(_seeds(sets, t).withColumns({"homes": F.lit(0), "at": F.lit(0.0)})), "regions")
-    met = _meet(seeds.where(F.col("m") <= REGION), t, by_rank)
-    large = seeds.where(F.col("m") > REGION)
+    entries = seeds.select("x", "n", F.explode(F.arrays_zip("regions", "ranks")).alias("e")).select(F.col("e.regions").alias("region"), "x", "n", F.col("e.ranks").alias("rank"))
+    regions = settle(_sized(entries), "regions").withColumns({"homes": F.lit(0), "at": F.lit(0.0)})
+    met = _meet(regions.where(F.col("m") <= REGION), t, by_rank)
+    large = regions.where(F.col("m") > REGION)
+    if not large.isEmpty():
+        inside = _only(sets, large)
     for level in range(LEVELS):
         if large.isEmpty():
             break
-        parts = settle(_sized(settle(_split(large, sets, t, level), f"split-{level}")), f"regions-{level}")
+        parts = settle(_sized(settle(_split(large, inside, t, level), f"split-{level}")), f"regions-{level}")
         again = F.col("far") & (F.col("m") > REGION) if level < LEVELS - 1 else F.lit(False)
         met = met.unionByName(_meet(parts.where(~again), t, by_rank & window, level + 1))
         large = parts.where(again)
-    met = settle(met.distinct(), "met")
-    left = met.join(sets.select(F.col("x").alias("a"), F.col("grams").alias("a_grams")), "a")
-    both = left.join(sets.select(F.col("x").alias("b"), F.col("grams").alias("b_grams")), "b")
+    # Sets that differ in more parities than alike ones may in members are not alike.
+    side = lambda c: seeds.select(F.col("x").alias(c), F.struct("n", "parity").alias(f"{c}_side"))
+    both = met.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("a_side").alias("u"), F.col("b_side").alias("v"))
+    odd = sum((F.bit_count(F.col("u.parity")[i].bitwiseXOR(F.col("v.parity")[i])) for i in range(PARITY // 64)), F.lit(0))
+    total = F.col("u.n") + F.col("v.n")
+    met = settle(both.where(odd <= total - 2 * F.ceil(threshold / (1 + threshold) * total - _SLACK)).select("a", "b"), "met")
+    known = _only(sets, met.select(F.explode(F.array("a", "b")).alias("x"))).dropDuplicates(["x"])
+    left = met.join(known.select(F.col("x").alias("a"), F.col("grams").alias("a_grams")), "a")
+    both = left.join(known.select(F.col("x").alias("b"), F.col("grams").alias("b_grams")), "b")
     return both.select("a", "b", similarity(F.col("a_grams"), F.col("b_grams")).alias("similarity")).where(F.col("similarity") >= threshold - _SLACK)
 
 

@@ -21,18 +21,16 @@ WORDS, THRESHOLD = 3, 0.7
 RUN_BATCHES = 25
 
 
-def _fix_sets(spark: SparkSession, d: str) -> DataFrame:
-    """id, x, grams of the current row of every fix; fixes with the same set have the same x."""
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """id, x, n of the current row of every fix (fixes with the same set have the same x), and the pairs of different sets that are alike.
+
+    What is stored is the texts: their sets take several times as much, and are made again wherever they are read.
+    """
     fixes = current_rows(load(spark, d, "fixes"), ["id", "issue", "resolution", "error_excerpt"])
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("issue", "resolution", "error_excerpt")])
-    return settle(fixes.select("id", shingles(WORDS)(text).alias("grams")).withColumn("x", set_id(F.col("grams"))), "fix-sets")
-
-
-def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The fixes' sets, and the pairs of different sets that are alike."""
-    fixes = _fix_sets(spark, d)
-    sets = settle(distinct_sets(fixes, "grams").withColumnRenamed("set_id", "x"), "sets")
-    return fixes.select("id", "x", F.size("grams").alias("n")), similar_pairs(sets, THRESHOLD)
+    grams = shingles(WORDS)("text")
+    texts = settle(fixes.select("id", text.alias("text")).select("id", "text", set_id(grams).alias("x"), F.size(grams).alias("n")), "fix-texts")
+    return texts.select("id", "x", "n"), similar_pairs(texts.where("n > 0").select("x", grams.alias("grams")), THRESHOLD)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-import re
-
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = re.compile("[a-z0-9]+")
 #: Odd multipliers and the two of a well-known 64-bit finalizer.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-@functools.lru_cache(200_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+#: A word's number is a polynomial of its letters' numbers; the letters of 2**17 bytes are taken at a time.
+_BASE = 0xD1342543DE82EF95
+_SLICE = 1 << 17
+_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +24,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte of a word; 0 for all that separates words.
+_LETTER = np.where(np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789")), mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0]), np.uint64(0))
+
+
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of _BASE and of its inverse, at least ``length`` of them."""
+    if length > len(_POWERS[0]):
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(max(2 * _SLICE, length), np.uint64(base))
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and number of every word of a text given as bytes, which ends with no letter."""
+    part = _LETTER[raw]
+    starts, numbers, at = [], [], 0
+    while at < len(raw):
+        # A slice ends behind a byte that is no letter, and bounds the memory.
+        end = min(at + _SLICE, len(raw))
+        while part[end - 1]:
+            gaps = np.flatnonzero(part[end : end + _SLICE] == 0)
+            end += int(gaps[0]) + 1 if len(gaps) else _SLICE
+        own = part[at:end]
+        edges = np.flatnonzero(np.diff((own != 0).view(np.int8), prepend=0))
+        first, last = edges[::2], edges[1::2]
+        power, inverse = _powers(end - at)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[: end - at], dtype=np.uint64)])
+        numbers.append(mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(numbers)
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A number for each ``n`` neighbours in ``h``."""
+    out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for i in range(n):
+        out = mix(out * _ODD[i % len(_ODD)] + h[i : len(h) - n + 1 + i])
+    return out
+
+
+def _sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    raw = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
+    bounds = np.cumsum([0, *(len(t) + 1 for t in raw)])
+    starts, h = _words(np.frombuffer(b"\n".join([*raw, b""]), np.uint8))
+    at = np.searchsorted(starts, bounds)  # the first word of each text
+    words = np.diff(at)
+    text = np.repeat(np.arange(len(texts)), words)
+    inside = np.flatnonzero(np.arange(len(h)) + size <= at[1:][text])
+    text, runs = text[inside], (_runs(h, size)[inside] if len(inside) else np.empty(0, np.uint64)).view(np.int64)
+    order = np.lexsort((runs, text))
+    text, runs = text[order], runs[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])
+    out = np.split(runs[new], np.searchsorted(text[new], np.arange(1, len(texts))))
+    for i in np.flatnonzero((words > 0) & (words < size)):
+        out[i] = _runs(h[at[i] : at[i + 1]], words[i]).view(np.int64)
+    return out
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """The shingle set of each text (empty for null), some texts at a time."""
+    out: list[np.ndarray] = []
+    some: list[str | None] = []
+    held = 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held > _SLICE:
+            out += _sets(some, size)
+            some, held = [], 0
+    return out + (_sets(some, size) if some else [])
+
+
 def shingle_set(text: str, size: int) -> np.ndarray:
     """The sorted hashes of all runs of ``size`` neighbouring words (of all words, if fewer; none without words)."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    n = min(size, len(words))
-    runs = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        runs = mix(runs * _ODD[i % len(_ODD)] + h[i : len(h) - n + 1 + i])
-    return np.unique(runs.view(np.int64))
+    return _sets([text], size)[0]
 
 
 def shingles(size: int):  # noqa: ANN201
@@ -48,7 +110,7 @@ def shingles(size: int):  # noqa: ANN201
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, size) if t else np.empty(0, np.int64) for t in texts], dtype=object)
+        return pd.Series(shingle_sets(texts.tolist(), size), index=texts.index, dtype=object)
 
     return of
 
