@@ -182,6 +182,30 @@ def test_batches_in_one_run_or_each_alone(spark):
     assert rows(25) == rows(1)
 
 
+def test_runs_grow_with_what_came_before():
+    from tracewright.llm import queries_duplicates as Q
+
+    batches = [(i, 400) for i in range(2500)]
+    assert Q._runs(batches, 1_400_000) == [(0, 2499)]
+    runs = Q._runs(batches, 10_000)
+    assert len(runs) < 10 and runs[0] == (0, 24) and runs[-1][1] == 2499
+    assert [b for first, last in runs for b in range(first, last + 1)] == list(range(2500))
+    assert Q._runs([], 5) == []
+
+
+def test_unlike_sets_that_share_a_band_are_not_compared(spark, monkeypatch):
+    rows = {}
+    settle = history_module.settle
+    monkeypatch.setattr(history_module, "settle", lambda df, name, *a: rows.__setitem__(name, settle(df, name, *a)) or rows[name])
+    text = lambda i: list(range(40)) + [1000 * i + k for k in range(60)]
+    history = History(spark)
+    history.seed(spark.createDataFrame([(i, text(i)) for i in range(1, 31)], SETS), spark.createDataFrame([], "key string"))
+    new = [(i, i, None, text(i)) for i in range(31, 61)] + [(61, 61, None, text(1)[1:]), (62, 62, None, text(31)[1:])]
+    judged = {r.record: r.is_repeat for r in history.run(_records(spark, new), 0.7).collect()}
+    assert judged == {r[0]: r[0] > 60 for r in new}
+    assert rows["run-met"].count() == 1
+
+
 def test_bands_miss_hardly_any_pair_at_the_threshold():
     assert (1 - 0.7**ROWS) ** BANDS < 2e-6
 

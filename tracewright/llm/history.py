@@ -2,7 +2,7 @@
 
 The index is a folder of Parquet tables that only ever grows, one part per run:
 
-* ``bands``   band key, set id and size, partitioned by a hash bucket of the key;
+* ``bands``   band key, set id, size and 128 parities of the set, partitioned by a hash bucket of the key;
 * ``sets``    set id and shingles, partitioned by a hash bucket of the id. The whole set stands in place
   of a signature: it is the shorter of the two for most texts, and makes the check exact;
 * ``keys``    the source keys taken.
@@ -31,9 +31,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tracewright.llm.shingles import mix, set_id, similarity
+from tracewright.llm.bitmap import only
+from tracewright.llm.shingles import flat, mix, most_apart, parities, set_id, similarity
 from tracewright.sources.scratch import scratch_path, settle
 
 #: Bands and minima per band: a pair at similarity 0.7 is missed with a chance of 1.1e-6.
@@ -42,33 +42,33 @@ BANDS, ROWS = 50, 4
 BUCKETS = 16
 #: New sets of a run that may meet in one band pair by pair; beyond it the run is settled in parts, which is exact too.
 HOT = 256
+#: Shingles that are signed at a time.
+SIGNED = 1 << 15
 _SLACK = 1e-9
 _ALL = "all"
 
 
-def _signature(grams: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """The least value of every salted permutation of a set."""
-    g = grams.view(np.uint64)
-    out = np.empty(len(salts), np.uint64)
-    step = max(1, 2_000_000 // max(1, len(g)))  # bounds the memory for very long texts
-    for i in range(0, len(salts), step):
-        s = salts[i : i + step, None]
-        out[i : i + step] = ((g[None, :] ^ s) * (s | np.uint64(1))).min(axis=1)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(grams: pd.Series) -> pd.Series:
-    """One number per band of the set's minwise signature."""
+def _band_keys(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number per band of each set's minwise signature, a row for each set; no set is empty."""
     salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = []
-    for g in grams:
-        sig = _signature(np.asarray(g, np.int64), salts).reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + sig[:, r])
-        out.append(key.view(np.int64))
-    return pd.Series(out, dtype=object)
+    g, first = grams.view(np.uint64), np.cumsum(sizes) - sizes
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(sizes), axis=1)
+    for r in range(ROWS):
+        least = np.stack([np.minimum.reduceat((g ^ s) * (s | np.uint64(1)), first) for s in salts[r::ROWS]])
+        key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+    return key.view(np.int64).T
+
+
+def _signed(batches):  # noqa: ANN001, ANN202
+    """x, n, p, q, bands of sets (x, grams): the size, the parities and the bands' keys."""
+    for rows in batches:
+        n = rows["grams"].map(len).to_numpy()
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(n) // SIGNED)) + 1):  # bounds the memory
+            some = rows.iloc[part]
+            if len(some):
+                grams, sizes = flat(some["grams"])
+                p, q = parities(grams, sizes, 128).T
+                yield pd.DataFrame({"x": some["x"], "n": sizes, "p": p, "q": q, "bands": list(_band_keys(grams, sizes))})
 
 
 def _buckets_of(rows: DataFrame) -> list[int]:
@@ -132,8 +132,8 @@ class History:
         return self.spark.read.schema(f"{schema}, run string").option("basePath", f"{self.path}/{table}").parquet(*paths).drop("run")
 
     def bands(self, buckets: list[int] | None = None) -> DataFrame:
-        """band, x, n, bucket of all accepted sets, or of some buckets."""
-        rows = self._read("bands", "band long, x long, n int, bucket int")
+        """band, x, n, p, q, bucket of all accepted sets, or of some buckets."""
+        rows = self._read("bands", "band long, x long, n int, p long, q long, bucket int")
         return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def sets(self, buckets: list[int] | None = None) -> DataFrame:
@@ -149,9 +149,9 @@ class History:
         return F.pmod(F.xxhash64(F.lit(9), c), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _bands(self, sets: DataFrame) -> DataFrame:
-        """bucket, band, x, n of each set (x, grams)."""
-        keyed = sets.select("x", F.size("grams").alias("n"), F.explode(band_keys("grams")).alias("band"))
-        return keyed.select(self._bucket("band"), "band", "x", "n")
+        """bucket, band, x, n, p, q of each set (x, grams)."""
+        keyed = sets.select("x", "grams").mapInPandas(_signed, "x long, n int, p long, q long, bands array<long>")
+        return keyed.select("x", "n", "p", "q", F.explode("bands").alias("band")).select(self._bucket("band"), "band", "x", "n", "p", "q")
 
     def _write(self, table: str, part: str, rows: DataFrame) -> None:
         if "bucket" in rows.columns:
@@ -162,7 +162,7 @@ class History:
 
     def _append(self, part: str, sets: DataFrame, bands: DataFrame, keys: DataFrame) -> None:
         """Writes a part of a run: accepted sets (x, grams), their bands, and keys. Not committed yet."""
-        self._write("bands", part, bands.select("bucket", "band", "x", "n"))
+        self._write("bands", part, bands.select("bucket", "band", "x", "n", "p", "q"))
         self._write("sets", part, sets.select("x", "grams", self._bucket("x")))
         self._write("keys", part, keys.select("key").where("key is not null").distinct())
         self._open.append(part)
@@ -238,9 +238,9 @@ class History:
         rows = rows.select("record", "turn", "key", "x")
 
         # Against history: the buckets of the run's bands, then the buckets of the sets met there; then exactly.
-        size = F.least("n", "o_n") >= threshold * F.greatest("n", "o_n") - _SLACK
-        old = self.bands(_buckets_of(bands)).select("bucket", "band", F.col("x").alias("y"), F.col("n").alias("o_n"))
-        met = settle(bands.join(old, ["bucket", "band"]).where(size).select("x", "y").distinct(), "run-met")
+        # Of history only what has a band of the run is moved.
+        old = only(self.bands(_buckets_of(bands)), bands, "band")
+        met = settle(self._met(bands, old, threshold).select("x", "y").distinct(), "run-met")
         known = self.sets(_buckets_of(met.select(self._bucket("y")))).select(F.col("x").alias("y"), F.col("grams").alias("y_grams"))
         alike = self._alike(met, sets, known, threshold).select("x").distinct()
         # Records without text or key take no part in these joins.
@@ -260,9 +260,7 @@ class History:
             fresh = fresh.where(~later)
             new_sets = fresh.select("x").where("x is not null").distinct()
         open_bands = bands.join(new_sets, "x", "left_semi")
-        a, b = open_bands.alias("a"), open_bands.alias("b")
-        near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - _SLACK
-        met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.x") < F.col("b.x")) & near).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
+        met = self._met(open_bands, open_bands, threshold).where("x < y").select("x", "y").distinct()
         own = self._alike(met, sets, sets.select(F.col("x").alias("y"), F.col("grams").alias("y_grams")), threshold)
         links = settle(own.unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"))), "run-links")
         cases = settle(self._decide(fresh, links), "run-cases")
@@ -273,6 +271,14 @@ class History:
         judged = repeats.unionByName(accepted.select("record", F.lit(False).alias("is_repeat")))
         return judged, rest if rest is None or not rest.isEmpty() else None
 
+    @staticmethod
+    def _met(bands: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+        """x, y: the sets that share a band, and differ in no more parities than alike ones may in shingles."""
+        others = others.select("band", *[F.col(c).alias(d) for c, d in (("x", "y"), ("n", "o_n"), ("p", "o_p"), ("q", "o_q"))])
+        odd = F.bit_count(F.col("p").bitwiseXOR(F.col("o_p"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("o_q")))
+        size = F.least("n", "o_n") >= threshold * F.greatest("n", "o_n") - _SLACK
+        return bands.join(others, "band").where(size & (odd <= most_apart(F.col("n") + F.col("o_n"), threshold)))
+
     @staticmethod
     def _alike(met: DataFrame, sets: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
         """Of the candidates (x, y) those whose similarity reaches the threshold."""

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shingles import mix, similarity
+from tracewright.llm.bitmap import only, slots
+from tracewright.llm.shingles import flat, most_apart, parities, similarity
 from tracewright.sources.scratch import settle
 
 #: Members above which a region is split; pivots of a split at least (the square root of the members, if that is more); levels.
@@ -48,17 +49,6 @@ PARITY = 256
 _SLACK = 1e-9
 
 
-def _flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """The members of all sets one after another, and the sets' sizes."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    return np.concatenate([np.empty(0, np.int64), *sets]), sizes
-
-
-def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of each shingle in a table of 2**bits counters."""
-    return (mix(grams.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def _counts(sets: DataFrame, bits: int) -> np.ndarray:
     """For each slot of shingles how many sets have one of them: exact below EXACT, then in steps of an eighth of a doubling.
 
@@ -69,8 +59,8 @@ def _counts(sets: DataFrame, bits: int) -> np.ndarray:
     def count(batches):  # noqa: ANN001, ANN202
         table = np.zeros(1 << bits, np.uint16)
         for rows in batches:
-            slots, n = np.unique(_slots(_flat(rows["grams"])[0], bits), return_counts=True)
-            table[slots] = np.minimum(table[slots] + n, 65535)
+            at, n = np.unique(slots(flat(rows["grams"])[0], bits), return_counts=True)
+            table[at] = np.minimum(table[at] + n, 65535)
         for i in range(0, len(table), chunk):
             if (part := table[i : i + chunk]).any():
                 yield pd.DataFrame({"chunk": [i // chunk], "counts": [zlib.compress(part.tobytes(), 1)]})
@@ -92,56 +82,29 @@ def _counts(sets: DataFrame, bits: int) -> np.ndarray:
 def _seeds(sets: DataFrame, t: float) -> DataFrame:
     """x, n, parity, regions, ranks: for each different set its size, the singletons whose regions it belongs to and their ranks in it.
 
-    Singletons of a single set are left out, as nothing can be met there. ``parity`` has PARITY bits, each telling whether
-    the set has an odd number of the shingles of that bit: sets differ in at least as many shingles as bits.
+    Singletons of a single set are left out, as nothing can be met there.
     """
     bits = min(max((256 * sets.count()).bit_length(), 16), SLOTS)
     table = sets.sparkSession.sparkContext.broadcast(_counts(sets, bits))
 
     def of(batches):  # noqa: ANN001, ANN202
         for rows in batches:
-            grams, n = _flat(rows["grams"])
+            grams, n = flat(rows["grams"])
             if not len(grams):
                 continue
             own = np.repeat(np.arange(len(n)), n)
-            odd = np.zeros(len(n) * PARITY, np.uint8)
-            np.bitwise_xor.at(odd, own * PARITY + (mix(grams.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % PARITY, 1)
-            parity = np.packbits(odd.reshape(len(n), PARITY), axis=1).view(np.int64)
-            often = table.value[_slots(grams, bits)]
+            often = table.value[slots(grams, bits)]
             order = np.lexsort((grams, often, own))
             rank = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
             first = n - np.ceil((1 - t) * n - _SLACK).astype(np.int64) + 1
             kept = (rank < first[own]) & (often[order] > 1)
             cuts = np.cumsum(np.bincount(own[kept], minlength=len(n)))[:-1]
-            yield pd.DataFrame({"x": rows["x"], "n": n, "parity": list(parity), "regions": np.split(grams[order][kept], cuts), "ranks": np.split(rank[kept], cuts)})
+            yield pd.DataFrame({"x": rows["x"], "n": n, "parity": list(parities(grams, n, PARITY)), "regions": np.split(grams[order][kept], cuts), "ranks": np.split(rank[kept], cuts)})
 
     seeds = sets.select("x", "grams").mapInPandas(of, "x long, n int, parity array<long>, regions array<long>, ranks array<int>")
     return settle(seeds.where(F.size("regions") > 0).dropDuplicates(["x"]), "seeds")
 
 
-def _only(sets: DataFrame, xs: DataFrame) -> DataFrame:
-    """Rows of ``sets`` without most of those whose x is not in ``xs``: of the latter a bitmap is told to all tasks."""
-    bits = min(max((16 * xs.count()).bit_length(), 16), SLOTS)
-
-    def mark(batches):  # noqa: ANN001, ANN202
-        table = np.zeros(1 << bits, bool)
-        for rows in batches:
-            table[_slots(rows["x"].to_numpy(np.int64), bits)] = True
-        yield pd.DataFrame({"marks": [zlib.compress(np.packbits(table).tobytes(), 1)]})
-
-    marks = np.zeros(1 << bits >> 3, np.uint8)
-    for row in xs.select("x").mapInPandas(mark, "marks binary").toLocalIterator():
-        marks |= np.frombuffer(zlib.decompress(row["marks"]), np.uint8)
-    table = sets.sparkSession.sparkContext.broadcast(marks)
-
-    @F.pandas_udf(T.BooleanType())
-    def marked(x: pd.Series) -> pd.Series:
-        at = _slots(x.to_numpy(np.int64), bits)
-        return pd.Series((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    return sets.where(marked("x"))
-
-
 def _apart(pivots: DataFrame) -> DataFrame:
     """Pivots (region, p, p_grams) without those within RADIUS of a lesser one: a family of alike sets needs one pivot, not several."""
     a, b = pivots.alias("a"), pivots.select("region", F.col("p").alias("q"), F.col("p_grams").alias("q_grams")).alias("b")
@@ -216,9 +179,9 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     t = 1 - threshold
     seeds = _seeds(sets, t)
-    # Members that are common to both at least, and those that only one has at most.
-    common = F.ceil(threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - _SLACK)
-    apart = F.col("a.n") + F.col("b.n") - 2 * common
+    # Members that only one has at most, and those that are common to both at least.
+    apart = most_apart(F.col("a.n") + F.col("b.n"), threshold)
+    common = (F.col("a.n") + F.col("b.n") - apart) / 2
     # Where the shared shingle is the first that is: what ranks before it is not common, and enough must follow.
     by_rank = (F.least(F.col("a.n") - F.col("a.rank"), F.col("b.n") - F.col("b.rank")) >= common) & (F.col("a.rank") + F.col("b.rank") <= apart)
     window = F.abs(F.col("a.at") - F.col("b.at")) <= t + _SLACK
@@ -228,7 +191,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     met = _meet(regions.where(F.col("m") <= REGION), t, by_rank)
     large = regions.where(F.col("m") > REGION)
     if not large.isEmpty():
-        inside = _only(sets, large)
+        inside = only(sets, large)
     for level in range(LEVELS):
         if large.isEmpty():
             break
@@ -241,8 +204,8 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     both = met.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("a_side").alias("u"), F.col("b_side").alias("v"))
     odd = sum((F.bit_count(F.col("u.parity")[i].bitwiseXOR(F.col("v.parity")[i])) for i in range(PARITY // 64)), F.lit(0))
     total = F.col("u.n") + F.col("v.n")
-    met = settle(both.where(odd <= total - 2 * F.ceil(threshold / (1 + threshold) * total - _SLACK)).select("a", "b"), "met")
-    known = _only(sets, met.select(F.explode(F.array("a", "b")).alias("x"))).dropDuplicates(["x"])
+    met = settle(both.where(odd <= most_apart(total, threshold)).select("a", "b"), "met")
+    known = only(sets, met.select(F.explode(F.array("a", "b")).alias("x"))).dropDuplicates(["x"])
     left = met.join(known.select(F.col("x").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = left.join(known.select(F.col("x").alias("b"), F.col("grams").alias("b_grams")), "b")
     return both.select("a", "b", similarity(F.col("a_grams"), F.col("b_grams")).alias("similarity")).where(F.col("similarity") >= threshold - _SLACK)

@@ -16,8 +16,9 @@ from tracewright.sources.tables import load
 
 #: As TESTDATA.md states them for fixes: words of a shingle and least similarity.
 WORDS, THRESHOLD = 3, 0.7
-#: Import batches that a backfill judges in one run. Turns order the records across batches, so the rows do not depend
-#: on it; only the number of runs does. A batch that arrives alone is a run of its own.
+#: Import batches that a backfill judges in one run, at least; it takes more until it has as many tickets as came before, so
+#: the runs, each of which reads the index, grow in number as the logarithm of the batches. Turns order the records across
+#: batches, so the rows do not depend on it. A batch that arrives alone is a run of its own.
 RUN_BATCHES = 25
 
 
@@ -70,8 +71,25 @@ def _source_key(system: Column, key: Column) -> Column:
     return F.when(_filled(key), F.lower(F.concat(F.lit("source:"), F.trim(system), F.lit(":"), strip(key))))
 
 
-def _judged(spark: SparkSession, d: str, run_batches: int = RUN_BATCHES) -> DataFrame:
-    """import_id, batch_no, is_repeat (null: a bad row): the tickets, run by run, against all before them."""
+def _runs(batches: list[tuple[int, int]], before: int) -> list[tuple[int, int]]:
+    """First and last batch of each run of ``batches`` (number, tickets); ``before``: what was taken in before them."""
+    out: list[tuple[int, int]] = []
+    some: list[int] = []
+    tickets = 0
+    for batch, n in batches:
+        some.append(batch)
+        tickets += n
+        if len(some) >= RUN_BATCHES and tickets >= before:
+            out.append((some[0], some[-1]))
+            before, some, tickets = before + tickets, [], 0
+    return out + ([(some[0], some[-1])] if some else [])
+
+
+def _judged(spark: SparkSession, d: str, run_batches: int | None = None) -> DataFrame:
+    """import_id, batch_no, is_repeat (null: a bad row): the tickets, run by run, against all before them.
+
+    ``run_batches``: how many batches make a run, if not left to what came before.
+    """
     fixes = current_rows(load(spark, d, "fixes"), ["issue", "resolution", "tags"])
     fix_sets = fixes.select(shingles(WORDS)(_text(F.col("issue"), F.col("resolution"))).alias("grams"))
     tags = fixes.where(F.lower("tags").contains("source:")).select(F.explode(split_packed("tags")).alias("key"))
@@ -86,10 +104,14 @@ def _judged(spark: SparkSession, d: str, run_batches: int = RUN_BATCHES) -> Data
         _source_key(F.col("source_system"), F.col("source_key")).alias("key"),
         shingles(WORDS)(_text(F.col("issue"), F.col("resolution"))).alias("grams"),
     )
-    batches = [r["batch_no"] for r in tickets.select("batch_no").distinct().orderBy("batch_no").collect()]  # a row per batch
+    batches = sorted((r["batch_no"], r["n"]) for r in tickets.where("batch_no is not null").groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per batch
+    if run_batches is None:
+        runs = _runs(batches, history.sets().count())
+    else:
+        runs = [(some[0][0], some[-1][0]) for i in range(0, len(batches), run_batches) if (some := batches[i : i + run_batches])]
     out = None
-    for i in range(0, len(batches), run_batches):
-        some = records.where(F.col("batch_no").between(batches[i], batches[min(i + run_batches, len(batches)) - 1]))
+    for first, last in runs:
+        some = records.where(F.col("batch_no").between(first, last))
         # Batches come one after another; within one the import id tells the order.
         turn = F.col("batch_no").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("record")
         judged = history.run(some.withColumn("turn", turn).select("record", "turn", "key", "grams"), THRESHOLD)

@@ -115,6 +115,28 @@ def shingles(size: int):  # noqa: ANN201
     return of
 
 
+def flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all sets one after another, and the sets' sizes."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return np.concatenate([np.empty(0, np.int64), *sets]), sizes
+
+
+def parities(grams: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """A row of ``bits`` bits (64 a number) for each set: whether it has an odd number of the shingles of that bit.
+
+    Sets differ in at least as many shingles as bits.
+    """
+    odd = np.zeros(len(sizes) * bits, np.uint8)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    np.bitwise_xor.at(odd, own * bits + (mix(grams.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % bits, 1)
+    return np.packbits(odd.reshape(len(sizes), bits), axis=1).view(np.int64)
+
+
+def most_apart(total: Column, threshold: float) -> Column:
+    """In how many shingles two sets may differ that have ``total`` together and reach the threshold."""
+    return total - 2 * F.ceil(threshold / (1 + threshold) * total - 1e-9)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets given as arrays without repeats; 0 if both are empty."""
     both = F.size(F.array_intersect(a, b))
